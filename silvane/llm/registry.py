@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import packing, token_counts
+from . import packing, pii, secrets, token_counts
 
 QUERIES = {
     "op1_packing": packing.query,
     "op2_token_counts": token_counts.query,
+    "op5_secrets": secrets.query,
+    "op6_pii": pii.query,
 }
 ORACLES: dict[str, str] = {}
