@@ -246,9 +246,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, step: int, end_id: i
     schema = pa.schema([("task", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("class", pa.int64()), ("nth", pa.int64())])
     classes = -(-capacity // step)
     end = np.array([end_id], "<u4").tobytes()
-    source = common.id_text(docs)
-    if int(source.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > common.BATCH_ROWS:
-        source.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(common.BATCH_ROWS))
+    source = common.small_batches(common.id_text(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers

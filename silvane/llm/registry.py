@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import packing, pii, secrets, token_counts
+from . import decontaminate, packing, pii, secrets, token_counts
 
 QUERIES = {
     "op1_packing": packing.query,
     "op2_token_counts": token_counts.query,
     "op5_secrets": secrets.query,
     "op6_pii": pii.query,
+    "op7_decontamination": decontaminate.query,
 }
 ORACLES: dict[str, str] = {}
