@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, packing, pii, secrets, token_counts
+from . import decontaminate, near_dups, packing, pii, secrets, token_counts
 
 QUERIES = {
     "op1_packing": packing.query,
@@ -10,5 +10,6 @@ QUERIES = {
     "op5_secrets": secrets.query,
     "op6_pii": pii.query,
     "op7_decontamination": decontaminate.query,
+    "op10_near_dups": near_dups.query,
 }
 ORACLES: dict[str, str] = {}
