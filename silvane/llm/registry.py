@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, near_dups, packing, pii, quality, secrets, token_counts
+from . import decontaminate, lm_score, near_dups, packing, pii, quality, secrets, token_counts
 
 QUERIES = {
     "op1_packing": packing.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_secrets": secrets.query,
     "op6_pii": pii.query,
     "op7_decontamination": decontaminate.query,
+    "op9_lm_score": lm_score.query,
     "op10_near_dups": near_dups.query,
 }
 ORACLES: dict[str, str] = {}
