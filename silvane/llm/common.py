@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -60,6 +61,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The same rows, written as a table to the shared folder and read back: for large results, which Parquet holds smaller."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        cut(spark.range(1))  # names the folder
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def batch_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
     """A record batch with the columns of the schema in order, cast where a numpy array or list is given."""
     return pa.RecordBatch.from_arrays([x if isinstance(x := columns[f.name], pa.Array) and x.type == f.type else pa.array(x, f.type) for f in schema], schema=schema)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, lm_score, near_dups, packing, pii, quality, secrets, token_counts
+from . import decontaminate, lm_score, near_dups, packing, pii, quality, repeats, secrets, token_counts
 
 QUERIES = {
     "op1_packing": packing.query,
     "op2_token_counts": token_counts.query,
     "op3_quality": quality.query,
+    "op4_repeats": repeats.query,
     "op5_secrets": secrets.query,
     "op6_pii": pii.query,
     "op7_decontamination": decontaminate.query,
