@@ -46,6 +46,15 @@ def terms_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return Rolling(low).ranges(start, end), first
 
 
+def _arrays(data: np.ndarray, off: np.ndarray) -> dict:
+    """The index of one segment: extents of the documents, distinct terms, starts and postings."""
+    word, first = terms_of(data, off)
+    order = np.argsort(word, kind="stable")
+    in_order = word[order]
+    begins = np.flatnonzero(np.r_[True, in_order[1:] != in_order[:-1]]) if len(word) else np.zeros(0, np.int64)
+    return {"first": first, "terms": in_order[begins].tobytes(), "starts": np.r_[begins, len(word)].astype(np.uint32).tobytes(), "postings": order.astype(np.uint32).tobytes()}
+
+
 def build_index(docs: DataFrame) -> DataFrame:
     """Segments of a positional inverted index over ``docs`` (doc_id, text)."""
     schema = pa.schema([("segment", pa.string()), ("docs", pa.list_(pa.int64())), ("first", pa.list_(pa.int64())), ("terms", pa.binary()), ("starts", pa.binary()), ("postings", pa.binary())])
@@ -56,21 +65,14 @@ def build_index(docs: DataFrame) -> DataFrame:
             data, off = flat(batch.column("text"))
             for a, b in slices(off, SEGMENT):
                 part, at = data[off[a] : off[b]], off[a : b + 1] - off[a]
-                word, first = terms_of(part, at)
-                order = np.argsort(word, kind="stable")
-                in_order = word[order]
-                begins = np.flatnonzero(np.r_[True, in_order[1:] != in_order[:-1]]) if len(word) else np.zeros(0, np.int64)
                 n += 1
-                yield common.batch_of(
-                    schema, segment=[f"{task}:{n}"], docs=[batch.column("doc_id")[a:b].to_pylist()], first=[first], terms=[in_order[begins].tobytes()],
-                    starts=[np.r_[begins, len(word)].astype(np.uint32).tobytes()], postings=[order.astype(np.uint32).tobytes()],
-                )
+                yield common.batch_of(schema, segment=[f"{task}:{n}"], docs=[batch.column("doc_id")[a:b].to_pylist()], **{k: [v] for k, v in _arrays(part, at).items()})
 
     return common.small_batches(common.id_text(docs)).mapInArrow(run, INDEX)
 
 
 class Segment:
-    def __init__(self, segment: str, docs: list, first: list, terms: bytes, starts: bytes, postings: bytes) -> None:
+    def __init__(self, segment: str, docs: list, first: list | np.ndarray, terms: bytes, starts: bytes, postings: bytes) -> None:
         self.name, self.docs, self.first = segment, docs, np.array(first, np.int64)
         self.terms = np.frombuffer(terms, U64)
         self.starts, self.positions = np.frombuffer(starts, np.uint32), np.frombuffer(postings, np.uint32)
@@ -116,6 +118,33 @@ class Segment:
         return list(zip(doc[ok].tolist(), at[ok].tolist(), strict=True))
 
 
+class Search:
+    """Phrases made ready for segments."""
+
+    def __init__(self, tests: list[tuple[bytes, list[str]]]) -> None:
+        self.tests = tests
+        self.sizes = np.array([len(t) // 8 for t, _ in tests], np.int64)
+        self.begins = np.r_[0, np.cumsum(self.sizes)]
+        self.distinct, self.back = np.unique(np.frombuffer(b"".join(t for t, _ in tests), U64), return_inverse=True)
+
+    def hits(self, segment: Segment) -> tuple[dict[int, set[int]], dict[int, set[str]]]:
+        """Covered word positions and items, by number of the document in the segment."""
+        hits: dict[int, set[int]] = {}
+        items: dict[int, set[str]] = {}
+        if not self.tests:
+            return hits, items
+        known = segment.find(self.distinct)[self.back]
+        absent = np.r_[0, np.cumsum(known < 0)]
+        for t in np.flatnonzero(absent[self.begins[1:]] == absent[self.begins[:-1]]):
+            n = int(self.sizes[t])
+            at = segment.phrase(known[self.begins[t] : self.begins[t + 1]])
+            for doc, p in zip((np.searchsorted(segment.first, at, "right") - 1).tolist(), at.tolist(), strict=True):
+                base = int(segment.first[doc])
+                hits.setdefault(doc, set()).update(range(p - base, p - base + n))
+                items.setdefault(doc, set()).update(self.tests[t][1])
+        return hits, items
+
+
 def test_windows(benchmark: DataFrame, window: int, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """item_id and the terms of each distinct window of its text (all of a shorter text), as little-endian bytes."""
     schema = pa.schema([("item_id", pa.string()), ("terms", pa.binary())])
@@ -145,26 +174,11 @@ def phrases(index: DataFrame, tests: list[tuple[bytes, list[str]]]) -> DataFrame
     sent = index.sparkSession.sparkContext.broadcast(tests)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tests = sent.value
-        sizes = np.array([len(t) // 8 for t, _ in tests], np.int64)
-        begins = np.r_[0, np.cumsum(sizes)]
-        every = np.frombuffer(b"".join(t for t, _ in tests), U64)
-        distinct, back = np.unique(every, return_inverse=True)
+        search = Search(sent.value)
         for batch in batches:
             for row in batch.to_pylist():
                 segment = Segment(**row)
-                known = segment.find(distinct)[back] if len(every) else np.zeros(0, np.int64)
-                absent = np.r_[0, np.cumsum(known < 0)]
-                alive = np.flatnonzero(absent[begins[1:]] == absent[begins[:-1]]) if len(tests) else []
-                hits: dict[int, set[int]] = {}
-                items: dict[int, set[str]] = {}
-                for t in alive:
-                    n = int(sizes[t])
-                    at = segment.phrase(known[begins[t] : begins[t + 1]])
-                    for doc, p in zip((np.searchsorted(segment.first, at, "right") - 1).tolist(), at.tolist(), strict=True):
-                        base = int(segment.first[doc])
-                        hits.setdefault(doc, set()).update(range(p - base, p - base + n))
-                        items.setdefault(doc, set()).update(tests[t][1])
+                hits, items = search.hits(segment)
                 docs = range(len(segment.docs))
                 yield common.batch_of(schema, segment=[segment.name] * len(docs), place=list(docs), doc_id=segment.docs, n_words=np.diff(segment.first), hits=[sorted(hits.get(d, ())) for d in docs], items=[sorted(items.get(d, ())) for d in docs])
 
@@ -211,6 +225,32 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block:
     return out.groupBy("segment", "place").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), together("hits"), together("items"))
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
+    """The documents without any test window, with all their columns. No shuffle of the documents."""
+    grouped = test_windows(benchmark, window).groupBy("terms").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    n = grouped.count()
+    parts = 1 if n <= block else 2 * -(-n // block)
+    text_at, out = docs.columns.index("text"), docs
+    for k in range(parts):
+        own = [(bytes(t), i) for t, i in grouped.where(F.pmod(F.xxhash64("terms"), F.lit(parts)) == k).collect()]
+        out = common.small_batches(out).mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(own), text_at), docs.schema)
+    return out
+
+
+def _clean(sent, text_at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = Search(sent.value)
+        for batch in batches:
+            data, off = flat(batch.column(text_at))
+            keep = np.ones(batch.num_rows, bool)
+            for a, b in slices(off, SEGMENT):
+                hits, _ = search.hits(Segment("", [], **_arrays(data[off[a] : off[b]], off[a : b + 1] - off[a])))
+                keep[[a + d for d in hits]] = False
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     found = matches(common.documents(spark, sf_dir), common.table(spark, sf_dir, "benchmark"))
     n_hit = F.size("hits").cast("long")

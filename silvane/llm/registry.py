@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, lm_score, near_dups, packing, pii, quality, repeats, secrets, token_counts
+from . import ann, decontaminate, lm_score, near_dups, packing, pii, quality, repeats, secrets, token_counts
 
 QUERIES = {
     "op1_packing": packing.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_secrets": secrets.query,
     "op6_pii": pii.query,
     "op7_decontamination": decontaminate.query,
+    "op8_nearest": ann.query,
     "op9_lm_score": lm_score.query,
     "op10_near_dups": near_dups.query,
 }
