@@ -31,9 +31,9 @@ FORMAT_MAGIC = (
 FORMAT_CATEGORY = {"Png": "Images", "Jpeg": "Images", "Bmp": "Images", "Tlg": "Images", "Psb": "Images", "Pimg": "Images", "Ogg": "Audio", "Wave": "Audio"}
 FORMAT_EXTENSION = {"Png": ".png", "Tlg": ".tlg", "Psb": ".psb", "Pimg": ".pimg", "Ogg": ".ogg", "Wave": ".wav", "Jpeg": ".jpg", "Bmp": ".bmp"}
 # Evidence stages in order, and machine codes of executables.
-STAGES = ("Unknown", "InputIdentified", "ContainerIdentified", "IndexParsed", "ContentExtracted", "ContentDecoded", "FormatValidated", "Reproduced")
+STAGES = ("Unidentified", "ContainerIdentified", "IndexParsed", "EntryLocated", "RawDataExtracted", "ContentFilterApplied", "FormatValidated", "ContentUsable")
 FORMAT_VALIDATED = 6
-MACHINES = {0x014C: "x86", 0x8664: "x64", 0x01C4: "arm", 0xAA64: "arm64"}
+MACHINES = {0x014C: "x86", 0x8664: "x64", 0x01C0: "ARM", 0xAA64: "ARM64"}
 # Fixed value: largest signed 64-bit number, at which sums saturate.
 MOST = 9223372036854775807
 

@@ -408,12 +408,12 @@ def proof_count(spark, sf_dir):
     return profiles.proofs(rows, "candidate", "o_orderkey", "ok", "o_totalprice", 8, 300_000, 3)
 
 
-@query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'x86' WHEN 1 THEN 'x64' WHEN 2 THEN 'arm64' WHEN 3 THEN 'unknown-0x1234' ELSE 'arm' END AS machine, CASE p_partkey % 3 WHEN 0 THEN p_partkey WHEN 1 THEN 255 END AS parsed, 'dir/' || CAST(p_partkey AS VARCHAR) || '.png' AS output_path,
+@query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'x86' WHEN 1 THEN 'x64' WHEN 2 THEN 'ARM64' WHEN 3 THEN 'unknown-0x1234' ELSE 'ARM' END AS machine, CASE p_partkey % 3 WHEN 0 THEN p_partkey WHEN 1 THEN 255 END AS parsed, 'dir/' || CAST(p_partkey AS VARCHAR) || '.png' AS output_path,
  printf('%06d-%06d-', CAST(p_partkey AS INTEGER), CAST(p_size AS INTEGER)) || replace(p_name, ' ', '_') AS file_name, CAST(p_partkey % 8 >= 6 AS BOOLEAN) AS accepted FROM part""")
 def scalar_functions(spark, sf_dir):
     """F-09, F-11, F-13, F-15, P-10: values made from the part number."""
     k = F.col("p_partkey")
-    code = F.when(k % 5 == 0, 0x014C).when(k % 5 == 1, 0x8664).when(k % 5 == 2, 0xAA64).when(k % 5 == 3, 0x1234).otherwise(0x01C4)
+    code = F.when(k % 5 == 0, 0x014C).when(k % 5 == 1, 0x8664).when(k % 5 == 2, 0xAA64).when(k % 5 == 3, 0x1234).otherwise(0x01C0)
     text = F.when(k % 3 == 0, k.cast("string")).when(k % 3 == 1, "0xFF").otherwise("-1")
     path = F.concat(F.lit("dir/"), k.cast("string"), F.lit(".tlg"))
     return read(spark, sf_dir, "part").select("p_partkey", X.machine_name(code).alias("machine"), X.uint32(text).alias("parsed"), X.change_extension(path, ".png").alias("output_path"), X.safe_file_name(F.replace("p_name", F.lit(" "), F.lit("/")), k, F.col("p_size")).alias("file_name"), X.accepted(k % 8).alias("accepted"))
