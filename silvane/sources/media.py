@@ -34,7 +34,7 @@ def _checked(read):
         try:
             return read(data)
         except Malformed as e:
-            return {"code": e.code, "stage": 0 if e.code.endswith(("SIGNATURE_MISMATCH", "MARKER_MISSING", "FILE_HEADER_TRUNCATED", "RIFF_HEADER_TRUNCATED")) else 1}
+            return {"code": e.code, "stage": 0 if e.code.endswith(("SIGNATURE_MISMATCH", "RAW_MARKER_MISSING", "FILE_HEADER_TRUNCATED", "RIFF_HEADER_TRUNCATED")) else 1}
 
     run.__name__, run.__doc__ = read.__name__, read.__doc__
     return run
