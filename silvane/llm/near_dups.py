@@ -7,11 +7,15 @@ n collections serve n(n-1)/2 tables and about the square root of the minhashes i
 similarity s agree on a collection with probability s**HASHES and meet in a table if they agree on any
 two: with 14 collections of 2, sets of similarity 0.75 are missed with probability below 0.0002.
 
-Candidates are found by stars. In a bucket (classes with a common key) the least and the greatest class
-are centres; each other class of another component is paired with them, pairs are confirmed exactly, and
-components merge. The centres then leave the bucket (all their pairs are settled), and buckets whose
-classes are all of one component are finished. Rounds go on until no bucket is left: every pair of a
-bucket is confirmed, refuted or already connected, with no cap and no all-pairs join.
+Candidates are settled in two steps. First by stars: in a bucket (classes with a common key) the least
+and the greatest class are centres; each other class is paired with them, pairs are confirmed on full
+sets, and components merge. What is still open is mostly classes that share a passage but are not
+similar. Those are dealt anew, exactly: two sets can only be similar if the first quarter of both, in
+any one order of shingles, meets. With frequent shingles last (a count sketch of fixed size tells them)
+a shared passage stays out of that quarter. The buckets of that order are small; each is searched within
+tasks of at most two blocks of ``WITHIN`` classes, a larger bucket in all pairs of its blocks, and only
+links between different components are returned. Every pair of an open bucket is confirmed, refuted or
+already connected, with no cap and no pairs emitted.
 
 Null and empty texts, and texts of white space, have empty sets: linked with nothing. Null ids never are
 the smallest. Repeated rows are one class. Empty tables give empty results. Other columns play no part.
@@ -22,7 +26,6 @@ from __future__ import annotations
 import hashlib
 from collections import OrderedDict
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -137,45 +140,167 @@ def _confirmed(edges: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     return common.small_batches(pairs).mapInArrow(run, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, collections: int = COLLECTIONS, hashes: int = HASHES) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable) and kept of every row."""
+def _open(members: DataFrame) -> DataFrame:
+    """Rows (key, class, n, comp) of the buckets with more than one component, with the bucket's centres."""
+    node = F.struct("class", "comp", "n")
+    stars = members.groupBy("key").agg(F.min(node).alias("lo"), F.max(node).alias("hi"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+    return common.cut(members.join(stars.where("c0 <> c1").select("key", "lo", "hi"), "key"))
+
+
+def _settle(opened: DataFrame, texts: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b: components) that the centres' pairs confirm, and the rows that are left, relabelled."""
+    close = 100 * F.least("n", "end.n") >= percent * F.greatest("n", "end.n")
+    edges = opened.select("class", "comp", "n", F.explode(F.array("lo", "hi")).alias("end")).where("end.comp <> comp").where(close)
+    edges = edges.select(F.col("end.class").alias("center"), F.col("class").alias("member"), F.least("comp", "end.comp").alias("a"), F.greatest("comp", "end.comp").alias("b")).distinct()
+    found = common.cut(_confirmed(edges, texts, size, percent).distinct())
+    # Least component within two links: a star becomes one component at once; longer ways need not.
+    both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    label = both.join(least.select(F.col("a").alias("b"), "m"), "b").groupBy("a").agg(F.min("m").alias("m")).join(least.withColumnRenamed("m", "own"), "a")
+    label = label.select(F.col("a").alias("comp"), F.least("m", "own").alias("to"))
+    rest = opened.where("class <> lo.class and class <> hi.class").select("key", "class", "n", "comp")
+    return found, rest.join(label, "comp", "left").select("key", "class", "n", F.coalesce("to", "comp").alias("comp"))
+
+
+#: Counters of the sketch that orders shingles by how many sets hold them.
+SKETCH = 1 << 21
+
+
+def _prefixes(crowd: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """class, n, comp and each shingle of the part of its set that any similar set must meet."""
+    held = common.cut(texts.join(crowd, "class"))
+    part = pa.schema([("counts", pa.binary())])
+
+    def sets_of(batch: pa.RecordBatch) -> list[np.ndarray]:
+        import zstandard
+
+        open_up = zstandard.ZstdDecompressor().decompress
+        raw = [open_up(p) for p in batch.column("packed").to_pylist()]
+        return shingle_sets(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), size)
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(SKETCH, np.uint32)
+        for batch in batches:
+            for s in sets_of(batch):
+                np.add.at(counts, (s & U64(SKETCH - 1)).astype(np.int64), 1)
+        yield common.batch_of(part, counts=[counts.tobytes()])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(SKETCH, np.uint32)
+        for batch in batches:
+            for c in batch.column(0):
+                counts += np.frombuffer(c.as_py(), np.uint32)
+        yield common.batch_of(part, counts=[counts.tobytes()])
+
+    # Four arrays of fixed size reach the driver, and their sum goes out again.
+    few = held.coalesce(16).mapInArrow(sketch, "counts binary").repartition(4).mapInArrow(add, "counts binary").collect()
+    counts = held.sparkSession.sparkContext.broadcast(sum(np.frombuffer(r[0], np.uint32) for r in few))
+    schema = pa.schema([("class", pa.binary()), ("n", pa.int64()), ("comp", pa.binary()), ("keys", pa.list_(pa.int64()))])
+
+    def first(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keys = []
+        for s in sets_of(batch):
+            most = len(s) - -(-percent * len(s) // 100) + 1
+            order = np.lexsort((s, counts.value[(s & U64(SKETCH - 1)).astype(np.int64)]))
+            keys.append(s[order[:most]].view(np.int64))
+        return common.batch_of(schema, **{"class": batch.column("class")}, n=batch.column("n"), comp=batch.column("comp"), keys=keys)
+
+    return common.map_batches(held, first, "class binary, n long, comp binary, keys array<long>").select(F.explode("keys").alias("key"), "class", "n", "comp")
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """The rows whose key more than one row has."""
+    busy = rows.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key")
+    return rows.join(busy, "key", "left_semi")
+
+
+#: Classes of a block that one task compares with another's.
+WITHIN = 256
+
+
+def _within(opened: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b: components) of classes that share a key, in blocks. ``opened``: key, class, n, comp."""
+    told = opened.groupBy("key").agg(F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("sum"), F.count("*").alias("times"), F.min("class").alias("least"))
+    # Keys with the same classes are searched once.
+    keys = told.groupBy("sum", "times", "least").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("times") / WITHIN).cast("int").alias("blocks"))
+    rows = opened.select("key", "class", "comp").join(keys, "key").withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "class", "comp").join(texts.select("class", "packed"), "class")
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+    def search(group: pa.Table) -> pa.Table:
+        import zstandard
+
+        open_up = zstandard.ZstdDecompressor().decompress
+        raw = [open_up(p) for p in group["packed"].to_pylist()]
+        sets = shingle_sets(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), size)
+        comps, own = group["comp"].to_pylist(), group["own"].to_pylist()
+        across = group["lo"][0].as_py() != group["hi"][0].as_py()
+        parent = {c: c for c in comps}
+
+        def root(x: bytes) -> bytes:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        links = []
+        order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
+        for at, i in enumerate(order):
+            for j in reversed(order[:at]):
+                if 100 * len(sets[j]) < percent * len(sets[i]):
+                    break  # the rest are smaller still
+                if across and own[i] == own[j]:
+                    continue
+                if (x := root(comps[i])) != (y := root(comps[j])):
+                    met = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if 100 * met >= percent * (len(sets[i]) + len(sets[j]) - met):
+                        parent[x] = y
+                        links.append((comps[i], comps[j]))
+        return pa.Table.from_arrays([pa.array([a for a, _ in links], pa.binary()), pa.array([b for _, b in links], pa.binary())], schema=schema)
+
+    return rows.groupBy("key", "lo", "hi").applyInArrow(search, "a binary, b binary").distinct()
+
+
+def linked(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, collections: int = COLLECTIONS, hashes: int = HASHES) -> DataFrame:
+    """``near_duplicates`` with each row's hash, class and component (a class of it, null without words)."""
     signed = common.cut(signatures(docs, size, collections, hashes))
     classes = signed.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"), F.min("rid").alias("rid"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
     # A collection key that one class alone has can't make a shared table key.
-    single = classes.select("class", F.explode("keys").alias("key"))
-    shared = single.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    left = single.join(shared, "key", "left_semi").groupBy("class").agg(F.sort_array(F.collect_set("key")).alias("keys")).where(F.size("keys") > 1)
+    single = _shared(classes.select("class", "n", F.explode("keys").alias("key")))
+    left = single.groupBy("class", "n").agg(F.sort_array(F.collect_set("key")).alias("keys")).where(F.size("keys") > 1)
     pair_keys = F.flatten(F.transform("keys", lambda x, i: F.transform(F.slice("keys", i + 2, F.size("keys")), lambda y: F.xxhash64(x, y))))
-    tables = left.select("class", F.explode(pair_keys).alias("key"))
-    busy = tables.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members = common.cut(tables.join(busy, "key", "left_semi").select("key", "class", F.col("class").alias("comp")))
-    wanted = members.select("class").distinct().join(classes.select("class", "rid"), "class")
+    tables = _shared(left.select(F.explode(pair_keys).alias("key"), "class", "n"))
+    opened = _open(tables.withColumn("comp", F.col("class")))
+    wanted = opened.select("class").distinct().join(classes.select("class", "rid"), "class")
     texts = common.cut(_packed(docs).join(wanted, "rid").dropDuplicates(["class"]).select("class", "packed"))
-    links = None
-    while True:
-        node = F.struct("class", "comp")
-        stars = members.groupBy("key").agg(F.min(node).alias("lo"), F.max(node).alias("hi"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key", "lo", "hi")
-        open_ = members.join(stars, "key")
-        ends = F.array("lo", "hi")
-        edges = open_.select("class", "comp", F.explode(ends).alias("end")).where("end.comp <> comp and end.class <> class")
-        edges = edges.select(F.col("end.class").alias("center"), F.col("class").alias("member"), F.least("comp", "end.comp").alias("a"), F.greatest("comp", "end.comp").alias("b")).distinct()
-        found = common.cut(_confirmed(edges, texts, size, percent).distinct())
-        links = found if links is None else links.unionByName(found)
-        rest = open_.where("class <> lo.class and class <> hi.class").select("key", "class", "comp")
-        if found.isEmpty():
-            members = common.cut(rest)
-        else:
-            merged = components(found)
-            members = common.cut(rest.join(merged.withColumnRenamed("node", "comp"), "comp", "left").select("key", "class", F.coalesce("component", "comp").alias("comp")))
-        if members.isEmpty():
-            break
+    found, rest = _settle(opened, texts, size, percent)
+    crowd = _open(rest).select("class", "n", "comp").distinct()
+    links = found.unionByName(_within(_open(_shared(_prefixes(crowd, texts, size, percent))), texts, size, percent))
     joined = components(links)
     whole = classes.select("class", "least").join(joined.withColumnRenamed("node", "class"), "class")
     smallest = whole.groupBy("component").agg(F.min("least").alias("smallest"))
     named = classes.select("class", "least").join(joined.withColumnRenamed("node", "class"), "class", "left").join(smallest, "component", "left")
-    by_class = named.select("class", F.coalesce("smallest", "least").alias("component_id"))
+    by_class = named.select("class", F.coalesce("component", "class").alias("component"), F.coalesce("smallest", "least").alias("component_id"))
     out = signed.join(by_class, "class", "left").withColumn("component_id", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return out.select("rid", "class", "component", "doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, collections: int = COLLECTIONS, hashes: int = HASHES) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable) and kept of every row."""
+    return linked(docs, size, percent, collections, hashes).drop("rid", "class", "component")
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """One document of each group, with all columns: that of the smallest id. Documents without words all stay."""
+    rows = linked(docs, **options)
+    # A group of null ids only has no smallest one: its least row hash stands for it.
+    lead = rows.where("class is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("one")).select("one.rid")
+    empty = rows.where("class is null").select("rid")
+    chosen = lead.withColumn("all", F.lit(False)).unionByName(empty.withColumn("all", F.lit(True))).distinct()
+    own = F.struct(*[F.col(c) for c in docs.columns])
+    held = docs.select(own.alias("row"), F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("rid"))
+    kept = held.join(chosen, "rid").withColumn("own", F.when(F.col("all"), F.monotonically_increasing_id()))
+    return kept.dropDuplicates(["rid", "own"]).select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
