@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from silvane.plans import table_queries
+from silvane.plans import binary_queries, table_queries  # noqa: F401
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
@@ -22,7 +22,7 @@ def plain(value):
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for name in "region nation customer supplier part orders lineitem events documents pages benchmark labels conversations".split():
+    for name in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{FOLDER}/{name}.parquet'")
     return con
 
