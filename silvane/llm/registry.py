@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, decontaminate, lm_score, near_dups, packing, pii, quality, repeats, secrets, token_counts
+from . import ann, decontaminate, lm_score, near_dups, oracles, packing, pii, quality, repeats, secrets, token_counts
 
 QUERIES = {
     "op1_packing": packing.query,
@@ -16,4 +16,4 @@ QUERIES = {
     "op9_lm_score": lm_score.query,
     "op10_near_dups": near_dups.query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_repeats": oracles.REPEATS, "op7_decontamination": oracles.DECONTAMINATION, "op10_near_dups": oracles.NEAR_DUPS}
