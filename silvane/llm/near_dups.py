@@ -163,7 +163,7 @@ def _settle(opened: DataFrame, texts: DataFrame, size: int, percent: int) -> tup
 
 
 #: Counters of the sketch that orders shingles by how many sets hold them.
-SKETCH = 1 << 21
+SKETCH = 1 << 18
 
 
 def _prefixes(crowd: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
