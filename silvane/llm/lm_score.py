@@ -34,10 +34,13 @@ from pyspark.sql import functions as F
 from . import common
 from .bytesops import LOWER, NON_SPACE, U64, Rolling, words
 
+# Freed Arrow memory goes back to the system, not to a pool: blocks are large and workers live long.
+pa.set_memory_pool(pa.system_memory_pool())
+
 ORDER = 5
 SYMBOLS = 257
 #: Bytes of text of a block, on average, and of a stretch worked on at once.
-BLOCK, SLICE = 32 << 20, 2 << 20
+BLOCK, SLICE = 20 << 20, 1 << 20
 START, END = 0xFF, 0xFE
 #: Key of the end token among the words.
 END_WORD = np.int64(0x5EED)
@@ -208,11 +211,12 @@ class _Index:
     """Values by key, for keys that are all there: buckets of a multiplicative hash, searched in steps."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
-        self.bits = max(8, int(len(keys)).bit_length() + 1)
+        self.bits = max(8, int(len(keys)).bit_length())
         place = self._hash(keys)
-        order = np.argsort(place, kind="stable")
+        order = np.argsort(place)
         self.keys, self.values = keys[order], values[order]
-        self.begin = np.searchsorted(place[order], np.arange(1 << self.bits)).astype(np.int32)
+        self.begin = np.zeros(1 << self.bits, np.int32)
+        np.cumsum(np.bincount(place, minlength=1 << self.bits)[:-1], out=self.begin[1:])
 
     def _hash(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.view(U64) * U64(0x9E3779B97F4A7C15)) >> U64(64 - self.bits)).astype(np.int64)
@@ -230,7 +234,7 @@ def score(docs: DataFrame, block_bytes: int = BLOCK) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     size = common.id_text(docs).agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     dealt = _blocks(docs, max(1, -(-size // block_bytes)))
-    asked = common.cut(dealt.groupBy("block").applyInArrow(_asked_table, "block long, kind int, key long, n long"))
+    asked = common.stored(dealt.groupBy("block").applyInArrow(_asked_table, "block long, kind int, key long, n long"))
     counts = asked.groupBy("kind", "key").agg(F.sum("n").alias("n"))
     told = counts.where(F.col("kind") == WORD).agg(F.sum("n"), F.count(F.when(F.col("n") > 0, 1))).first()
     n_train, n_distinct = int(told[0] or 0), int(told[1] or 0)
@@ -255,8 +259,7 @@ def score(docs: DataFrame, block_bytes: int = BLOCK) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def scored(texts: pa.Table, found: pa.Table) -> pa.Table:
-        kind, key, value = found["kind"].to_numpy(), found["key"].to_numpy(), found["value"].to_numpy()
-        gram, word = (_Index(key[kind == k], value[kind == k]) for k in (GRAM, WORD))
+        gram, word = (_Index(part["key"].to_numpy(), part["value"].to_numpy()) for part in (found.filter(pa.compute.equal(found["kind"], k)) for k in (GRAM, WORD)))
         of_word = lambda c: np.log10((c + 1) / (n_train + n_distinct + 1))
         end = float(word.get(np.array([END_WORD]))[0])
         parts: list[list[np.ndarray]] = [[], [], [], []]
