@@ -215,7 +215,7 @@ def _shared(rows: DataFrame) -> DataFrame:
 
 
 #: Classes of a block that one task compares with another's.
-WITHIN = 256
+WITHIN = 768
 
 
 def _within(opened: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -275,7 +275,9 @@ def linked(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, collect
     texts = common.cut(_packed(docs).join(wanted, "rid").dropDuplicates(["class"]).select("class", "packed"))
     found, rest = _settle(opened, texts, size, percent)
     crowd = _open(rest).select("class", "n", "comp").distinct()
-    links = found.unionByName(_within(_open(_shared(_prefixes(crowd, texts, size, percent))), texts, size, percent))
+    # A star round on the new buckets first: it joins what a large group of near copies has left apart.
+    more, rest = _settle(_open(_shared(_prefixes(crowd, texts, size, percent))), texts, size, percent)
+    links = found.unionByName(more).unionByName(_within(_open(rest), texts, size, percent))
     joined = components(links)
     whole = classes.select("class", "least").join(joined.withColumnRenamed("node", "class"), "class")
     smallest = whole.groupBy("component").agg(F.min("least").alias("smallest"))
