@@ -54,9 +54,9 @@ def budget(rows: DataFrame, by: list[str], order: list[str], size: str, most_ite
     return out.withColumn("broken", broken).withColumn("running", F.least("running", F.lit(X.MOST).cast("decimal(38,0)")).cast("long"))
 
 
-def logical_offsets(segments: DataFrame, entry: list[str], number: str, size: str) -> DataFrame:
+def logical_offsets(segments: DataFrame, entry: list[str], order: list[str], size: str) -> DataFrame:
     """Offset of each segment in its entry's content: the sizes of those before it."""
-    w = Window.partitionBy(*entry).orderBy(number).rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy(*entry).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return segments.withColumn("logical_offset", F.coalesce(F.sum(size).over(w), F.lit(0)).cast("long"))
 
 

@@ -278,10 +278,9 @@ def running_budget(spark, sf_dir):
 @query("""SELECT l_orderkey, l_linenumber, CAST(coalesce(sum(q) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS logical_offset
  FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT) AS q FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) = count(DISTINCT l_linenumber)))""")
 def segment_offsets(spark, sf_dir):
-    """W-06: line items as segments of an order, quantity as size (orders whose line numbers are distinct)."""
-    items = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("long").alias("q"))
-    sound = items.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.count_distinct("l_linenumber").alias("d")).where("n = d").select("l_orderkey")
-    return profiles.logical_offsets(items.join(sound, "l_orderkey", "left_semi"), ["l_orderkey"], "l_linenumber", "q").select("l_orderkey", "l_linenumber", "logical_offset")
+    """W-06: line items as segments of an order, quantity as size; equal line numbers by part, supplier and quantity."""
+    items = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("long").alias("q"))
+    return profiles.logical_offsets(items, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "q"], "q").select("l_orderkey", "l_linenumber", "logical_offset")
 
 
 @query("""WITH c AS (SELECT a.conv_id, a.turn, upper(hex(encode(a.text[1:400]))) AS x, upper(hex(encode(b.text[1:400]))) AS y FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
