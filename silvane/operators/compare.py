@@ -58,12 +58,11 @@ def overlay(reference: DataFrame, override: DataFrame, key: str) -> DataFrame:
 def byte_islands(pairs: DataFrame, key: list[str], a: Column, b: Column) -> DataFrame:
     """Maximal ranges of places at which two byte strings differ; what one has beyond the other's end differs.
 
-    Places are compared as hexadecimal text inside each row, and neighbours are told by their number.
+    Places are compared as binary slices inside each row, and neighbours are told by their number.
     """
-    hexed = lambda c: F.hex(F.encode(c, "UTF-8"))
-    rows = pairs.select(*key, hexed(a).alias("a"), hexed(b).alias("b"))
-    n = (F.greatest(F.length("a"), F.length("b")) / 2).cast("int")
-    unlike = lambda i: F.substring("a", 2 * i + 1, F.lit(2)) != F.substring("b", 2 * i + 1, F.lit(2))
+    rows = pairs.select(*key, F.encode(a, "UTF-8").alias("a"), F.encode(b, "UTF-8").alias("b"))
+    n = F.greatest(F.octet_length("a"), F.octet_length("b"))
+    unlike = lambda i: F.substring("a", i + 1, F.lit(1)) != F.substring("b", i + 1, F.lit(1))
     at = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: (i < n) & unlike(i))
     places = rows.select(*key, F.posexplode(at).alias("nth", "place"))
     return places.groupBy(*key, (F.col("place") - F.col("nth")).alias("island")).agg(F.min("place").cast("long").alias("start"), F.count("*").alias("length")).drop("island")

@@ -287,8 +287,8 @@ def segment_offsets(spark, sf_dir):
  p AS (SELECT conv_id, turn, i, i - row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) AS g FROM (SELECT conv_id, turn, x, y, unnest(range(greatest(length(x), length(y)) // 2)) AS i FROM c) WHERE substr(x, CAST(2 * i + 1 AS BIGINT), 2) <> substr(y, CAST(2 * i + 1 AS BIGINT), 2))
  SELECT conv_id, turn, min(i) AS start, count(*) AS length FROM p GROUP BY conv_id, turn, g""")
 def byte_islands(spark, sf_dir):
-    """W-04: first characters of consecutive turns as two outputs of a filter."""
-    c = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.substring("text", 1, 400).alias("text"))
+    """W-04: whole texts of consecutive turns as two outputs of a filter."""
+    c = read(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     after = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next"))
     return compare.byte_islands(c.join(after, ["conv_id", "turn"]), ["conv_id", "turn"], F.col("text"), F.col("next"))
 

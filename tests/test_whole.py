@@ -15,3 +15,28 @@ def test_segment_offsets_of_equal_line_numbers(spark, tmp_path):
         want.append((order, line, before[order]))
         before[order] += int(quantity)
     assert sorted(map(tuple, table_queries.segment_offsets(spark, str(tmp_path)).collect())) == sorted(want)
+
+
+def islands(a: bytes, b: bytes) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for i in range(max(len(a), len(b))):
+        if a[i : i + 1] != b[i : i + 1]:
+            if out and sum(out[-1]) == i:
+                out[-1] = (out[-1][0], out[-1][1] + 1)
+            else:
+                out.append((i, 1))
+    return out
+
+
+def test_byte_islands_of_long_texts(spark, tmp_path):
+    base = "é" * 30 + "abcdefghij" * 60
+    turns = [base, base[:450] + "X" + base[451:], base[:390] + "Y" * 30 + base[420:], base + "tail", base[:400], "", "z" * 1500, None, "w"]
+    rows = [(c, i, "user", t) for c in (1, 2) for i, t in enumerate(turns[:: 3 - 2 * c])]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    texts = {(c, i): t for c, i, _, t in rows}
+    want = []
+    for (c, i), t in texts.items():
+        after = texts.get((c, i + 1))
+        if t is not None and after is not None:
+            want += [(c, i, *island) for island in islands(t.encode(), after.encode())]
+    assert sorted((r["conv_id"], r["turn"], r["start"], r["length"]) for r in table_queries.byte_islands(spark, str(tmp_path)).collect()) == sorted(want)
