@@ -4,8 +4,10 @@ Vectors are lifted by one coordinate to equal length, so that the largest inner
 distance. Centroids are fitted on a bounded sample by k-means with a penalty on crowded clusters; every
 vector of the input is then indexed: in its nearest list, and, if it lies near a boundary, in up to
 ``COPIES`` lists whose distance is within ``SPREAD`` of the nearest. The centroids are searched by an
-in-memory neighbour graph (best first, for many vectors at once). A query reads the lists that the
-graph finds, pruned to those whose distance is within a ratio of the nearest list's.
+in-memory neighbour graph (best first, for many vectors at once). A query reads its nearest lists, ``LEAST``
+at least, until they surely hold ``SEVERAL`` times ``k + 1`` distinct vectors, beyond those that the graph finds if they
+are too small, and of the lists that the graph finds those whose distance is within a ratio of the last
+of these. So a query on a centroid reads as far as any other, and none returns less than there is.
 
 Equal vectors are one class with its ``k + 1`` smallest ids (more can never be returned; Spark limits
 them before the shuffle), so a vector that a third of the rows repeat is one entry of a list. Lists are
@@ -23,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,8 +37,10 @@ SAMPLE = 20_000
 #: Vectors a list on average, and most lists.
 LIST, MAX_LISTS = 100, 8192
 COPIES, SPREAD = 6, 1.12
-#: Links of a centroid in the graph, breadth of its search, lists read at most, and their distance over the nearest.
+#: Links of a centroid in the graph, breadth of its search, lists that a query takes from it, and their distance over the least read.
 LINKS, BREADTH, PROBES, RATIO = 24, 200, 160, 1.5
+#: Lists that a query reads at least, and times k + 1 distinct vectors that they hold at least.
+LEAST, SEVERAL = 8, 8
 #: Vectors of a list that one task compares at once.
 PART = 20_000
 
@@ -136,6 +141,27 @@ class CentroidGraph:
         return best[:, :want], far[:, :want]
 
 
+def reach(graph: CentroidGraph, held: np.ndarray, x: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and lists that each row of ``x`` reads; ``held`` entries a list, at least ``least`` entries a row if there are so many."""
+    names, far = graph.search(x, PROBES, BREADTH)
+    found = np.isfinite(far)
+    sums = np.where(found, held[names], 0).cumsum(1)
+    enough = sums[:, -1] >= least
+    last = far[np.arange(len(x)), np.maximum((sums >= least).argmax(1), np.minimum(LEAST, found.sum(1)) - 1)]
+    keep = found & enough[:, None] & (far <= RATIO**2 * last[:, None])
+    row, col = np.nonzero(keep)
+    rows, lists = [row], [names[row, col]]
+    short = np.flatnonzero(~enough)
+    if len(short):
+        # The lists that the graph found are too small: all lists by distance, until they hold enough.
+        order = np.argsort(graph._far(x[short], None), 1, kind="stable")
+        sums = held[order].cumsum(1)
+        at, col = np.nonzero(sums - held[order] < least)
+        rows.append(short[at])
+        lists.append(order[at, col])
+    return np.concatenate(rows), np.concatenate(lists)
+
+
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """vec_id and v of the rows that take part."""
     v = F.col(vector_col)
@@ -163,7 +189,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "v
     def matrix(column: pa.ListArray) -> np.ndarray:
         return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
-    def spread(extra: bool):
+    def spread(held: Broadcast | None = None):
         schema = pa.schema([("list", pa.int64()), ("class", pa.int64()), ("v", pa.list_(pa.float64()))])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,22 +197,30 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "v
                 x = matrix(batch.column("v"))
                 for a in range(0, len(x), 256):
                     part = x[a : a + 256]
-                    up = np.concatenate([part, np.zeros((len(part), 1))], 1) if extra else lift(part, longest)
-                    names, far = graph.value.search(up, PROBES if extra else COPIES, BREADTH if extra else 4 * COPIES)
-                    keep = far <= (RATIO if extra else SPREAD) ** 2 * far[:, :1]
-                    keep &= np.isfinite(far)
-                    row, col = np.nonzero(keep)
+                    if held is not None:
+                        row, names = reach(graph.value, held.value, np.concatenate([part, np.zeros((len(part), 1))], 1), least)
+                    else:
+                        names, far = graph.value.search(lift(part, longest), COPIES, 4 * COPIES)
+                        keep = far <= SPREAD**2 * far[:, :1]
+                        keep &= np.isfinite(far)
+                        row, col = np.nonzero(keep)
+                        names = names[row, col]
                     take = pa.array(row + a)
-                    yield common.batch_of(schema, list=names[row, col], **{"class": batch.column("class").take(take)}, v=batch.column("v").take(take))
+                    yield common.batch_of(schema, list=names, **{"class": batch.column("class").take(take)}, v=batch.column("v").take(take))
 
         return run
 
     places = "list long, class long, v array<double>"
     common.small_batches(classes)
-    postings = common.cut(classes.select("class", "v").mapInArrow(spread(False), places))
+    postings = common.cut(classes.select("class", "v").mapInArrow(spread(), places))
     asked = queries.select(F.col(id_col).cast("long").alias("query_id")).join(rows.withColumnRenamed("vec_id", "query_id"), "query_id").distinct()
     askers = common.cut(asked.join(classes.select("class", "v"), "v").select("query_id", "class", "v"))
-    probes = askers.select("class", "v").dropDuplicates(["class"]).mapInArrow(spread(True), places)
+    # A vector is in at most COPIES lists, so that many entries hold at least this many distinct vectors.
+    least = COPIES * SEVERAL * (k + 1)
+    sizes = np.zeros(lists, np.int64)
+    for r in postings.groupBy("list").count().collect():
+        sizes[r["list"]] = r["count"]
+    probes = askers.select("class", "v").dropDuplicates(["class"]).mapInArrow(spread(spark.sparkContext.broadcast(sizes)), places)
     parts = postings.groupBy("list").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     left = probes.join(parts, "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("list", "part", "class", "v")
     right = postings.join(parts, "list").select("list", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int").alias("part"), "class", "v")
