@@ -68,19 +68,42 @@ def relationships(imports: DataFrame, modules: DataFrame) -> DataFrame:
 
 
 def duplicate_names(entries: DataFrame, by: list[str], name: str, order: list[str]) -> DataFrame:
-    """Later entries of a case-folded name get ``__duplicate-NNN`` before the extension (the fast path: generated names meet no other)."""
-    nth = F.row_number().over(Window.partitionBy(*by, F.upper(name)).orderBy(*order))
+    """Later entries of a case-folded name get ``__duplicate-NNN`` before the extension, past names that are taken.
+
+    A generated name without its marks is its entry's name without them, so only names that are equal but
+    for marks can meet. Where such a group holds one name, numbers suffice; other groups follow the exact rule.
+    """
+    keyed = entries.withColumn("folded", F.upper(name)).withColumn("bare", F.regexp_replace("folded", "__DUPLICATE-[0-9]{3,}", ""))
+    group = [*by, "bare"]
+    mixed = keyed.groupBy(*group).agg(F.min("folded").alias("lo"), F.max("folded").alias("hi")).where("lo <> hi").select(*[F.col(c).alias(f"mixed_{c}") for c in group])
+    same = [F.col(c).eqNullSafe(F.col(f"mixed_{c}")) for c in group]
+    nth = F.row_number().over(Window.partitionBy(*by, "folded").orderBy(*order))
     ext = F.regexp_extract(F.col(name), r"(\.[^./\\]+)$", 1)
     stem = F.expr(f"left(`{name}`, length(`{name}`) - length(regexp_extract(`{name}`, '(\\\\.[^./\\\\\\\\]+)$', 1)))")
-    return entries.withColumn("nth", nth).withColumn("output_name", F.when(F.col("nth") == 1, F.col(name)).otherwise(F.concat(stem, F.format_string("__duplicate-%03d", F.col("nth")), ext)))
+    fast = keyed.join(mixed, same, "left_anti").withColumn("nth", nth).withColumn("output_name", F.when(F.col("nth") == 1, F.col(name)).otherwise(F.concat(stem, F.format_string("__duplicate-%03d", F.col("nth")), ext))).drop("folded", "bare")
+
+    def probe(group):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        group = group.take(pc.sort_indices(group, [(c, "ascending") for c in order], null_placement="at_start"))
+        names, seen, numbers = group[name].to_pylist(), {}, []
+        for folded in group["folded"].to_pylist():
+            seen[folded] = seen.get(folded, 0) + 1
+            numbers.append(seen[folded])
+        return group.drop_columns(["folded", "bare"]).append_column("nth", pa.array(numbers, pa.int32())).append_column("output_name", pa.array(exact_duplicate_names(names), pa.string()))
+
+    exact = keyed.join(mixed, same, "left_semi").groupBy(*group).applyInArrow(probe, fast.schema)
+    return fast.unionByName(exact)
 
 
 def exact_duplicate_names(names: list[str]) -> list[str]:
     """Output names of one archive in order, probing past names that are taken, as the exact rule has it."""
     taken: set[str] = set()
+    last: dict[str, int] = {}
     out = []
     for name in names:
-        chosen, n = name, 1
+        chosen, n = name, last.get(name.upper(), 1)
         stem, dot, ext = name.rpartition(".")
         if not dot or "/" in ext or "\\" in ext or not ext:
             stem, dot, ext = name, "", ""
@@ -88,6 +111,7 @@ def exact_duplicate_names(names: list[str]) -> list[str]:
             n += 1
             chosen = f"{stem}__duplicate-{n:03d}{dot}{ext}"
         taken.add(chosen.upper())
+        last[name.upper()] = n
         out.append(chosen)
     return out
 

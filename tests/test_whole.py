@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections import defaultdict
 
-from silvane.plans import table_queries
+from builders import archive
+from silvane.operators import rules
+from silvane.plans import pipelines, table_queries
 
 
 def test_segment_offsets_of_equal_line_numbers(spark, tmp_path):
@@ -40,3 +42,12 @@ def test_byte_islands_of_long_texts(spark, tmp_path):
         if t is not None and after is not None:
             want += [(c, i, *island) for island in islands(t.encode(), after.encode())]
     assert sorted((r["conv_id"], r["turn"], r["start"], r["length"]) for r in table_queries.byte_islands(spark, str(tmp_path)).collect()) == sorted(want)
+
+
+def test_unpack_writes_entries_whose_generated_name_is_taken(spark, tmp_path):
+    names = ["a.png", "a.png", "a__duplicate-002.png", "A.PNG", "b.txt", "b.txt", "c"]
+    (tmp_path / "x.xp3").write_bytes(archive([{"name": n, "segments": [(bytes([65 + i]), False)]} for i, n in enumerate(names)]))
+    written, _ = pipelines.unpack(spark, [str(tmp_path / "x.xp3")], str(tmp_path / "out"))
+    want = rules.exact_duplicate_names(names)
+    assert sorted((r.output_name, r.written) for r in written.collect()) == sorted((n, True) for n in want)
+    assert [(tmp_path / "out" / n).read_bytes() for n in want] == [bytes([65 + i]) for i in range(len(names))]
