@@ -3,9 +3,11 @@
 Nothing here knows Spark. A *flat* batch is ``(data, off)``: the UTF-8 bytes of all rows in one
 uint8 array and the int64 row offsets into it (``len(off) == rows + 1``). Null texts are empty rows.
 
-Hashes are polynomial modulo 2**64 over randomised byte codes, read from one prefix-sum array, so the
-hash of any byte range costs two reads; they are finished by a 64-bit mixer. Where a collision would
-change a result, callers compare 128-bit digests or the bytes themselves.
+Two kinds of hash are kept apart. *Identities* tell words and word sequences apart: two independent
+64-bit sums of random values, one for each byte at each place of the word, so that 128 bits decide
+(``word_hashes``, ``shingle_hashes``). *Gram* hashes only choose places in a text (``grams``): equal
+bytes have equal ones, and a collision costs time but never changes a result, because callers compare
+128-bit digests of the bytes themselves.
 """
 
 from __future__ import annotations
@@ -15,9 +17,11 @@ import pyarrow as pa
 
 U64 = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(20240917))
-_CODES = _RNG.integers(1, 2**63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 2**64)
+#: Places of a word with random values of their own; longer words use them again, times a random factor.
+_PLACES = 64
+#: Random values of each place and byte: two independent tables.
+_PLACED = [_RNG.integers(0, 2**64, _PLACES * 256, dtype=U64) for _ in range(2)]
+_ODD = U64(0x9E3779B97F4A7C15)
 
 #: Byte -> the same byte with A-Z in lower case.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -70,43 +74,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class _Powers:
-    """Powers of the base and of its inverse, grown on demand and kept by the worker."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, U64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 1 << 16)
-            up, down = np.full(size, _BASE, U64), np.full(size, _INVERSE, U64)
-            up[0] = down[0] = 1
-            self.up, self.down = np.multiply.accumulate(up), np.multiply.accumulate(down)
-        if n > 1 << 25:  # a giant row: hand the table out without keeping it
-            up, down, self.up, self.down = self.up, self.down, np.ones(1, U64), np.ones(1, U64)
-            return up, down
-        return self.up, self.down
-
-
-_POWERS = _Powers()
-
-
-class Rolling:
-    """Hashes of any byte ranges of one array."""
-
-    def __init__(self, data: np.ndarray) -> None:
-        up, self.down = _POWERS.get(len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, U64)
-        np.cumsum(_CODES[data] * up[: len(data)], out=self.sums[1:])
-
-    def ranges(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(U64))
-
-    def grams(self, k: int) -> np.ndarray:
-        """Hash of the k bytes at each position."""
-        if len(self.sums) <= k:
-            return np.zeros(0, U64)
-        return mix((self.sums[k:] - self.sums[:-k]) * self.down[: len(self.sums) - k])
+def grams(data: np.ndarray, k: int) -> np.ndarray:
+    """Hash of the k bytes at each position, by doubling: chooses places, identifies nothing."""
+    n = len(data) - k + 1
+    if n <= 0:
+        return np.zeros(0, U64)
+    # Hashes of a power of two of bytes, then two that overlap cover any k.
+    now, size = _PLACED[0][data], 1
+    while 2 * size <= k:
+        now = now[:-size] * _ODD + (now[size:] ^ (now[size:] >> U64(29)))
+        size *= 2
+    if size < k:
+        now = now[:n] * _ODD + (now[k - size : k - size + n] ^ (now[k - size : k - size + n] >> U64(31)))
+    return mix(now[:n])
 
 
 def words(data: np.ndarray, off: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -129,6 +109,25 @@ def words(data: np.ndarray, off: np.ndarray, member: np.ndarray) -> tuple[np.nda
     return start, end, np.searchsorted(start, off)
 
 
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of each word. Words don't overlap and are in order; none is empty."""
+    size = end - start
+    if not len(size):
+        return np.zeros(0, U64), np.zeros(0, U64)
+    first = np.concatenate([[0], np.cumsum(size[:-1])])
+    place = np.arange(int(first[-1] + size[-1])) - np.repeat(first, size)
+    own = data[place + np.repeat(start, size)]
+    at = (place % _PLACES) * 256 + own
+    long = np.flatnonzero(place >= _PLACES) if int(size.max()) > _PLACES else None
+    out = []
+    for k, table in enumerate(_PLACED):
+        value = table[at]
+        if long is not None:
+            value[long] *= mix((place[long] // _PLACES).astype(U64) * U64(2) + U64(k)) | U64(1)
+        out.append(mix(np.add.reduceat(value, first) + size.astype(U64) * _ODD))
+    return out[0], out[1]
+
+
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each ``width`` consecutive values, by block prefix and suffix minima."""
     n = len(values)
@@ -142,27 +141,29 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def shingle_hashes(word_hash: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of ``size`` consecutive words within rows, with each row's first shingle.
+def shingle_hashes(word: tuple[np.ndarray, np.ndarray], first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two hashes of each ``size`` consecutive words within rows, with each row's first shingle.
 
     A row with fewer words, but not none, has its whole sequence as one shingle.
     """
     n_words = np.diff(first)
-    full = np.maximum(n_words - size + 1, 0)
-    count = np.where(n_words == 0, 0, np.maximum(full, 1))
+    count = np.where(n_words == 0, 0, np.maximum(n_words - size + 1, 1))
     starts = np.zeros(len(count) + 1, np.int64)
     np.cumsum(count, out=starts[1:])
-    odd = (mix(np.arange(1, size + 1, dtype=U64)) | U64(1)).astype(U64)
-    out = np.zeros(starts[-1], U64)
     at = np.repeat(first[:-1] - starts[:-1], count) + np.arange(starts[-1])
     whole = np.repeat(n_words >= size, count)
     base = at[whole]
-    total = np.zeros(len(base), U64)
-    for j in range(size):
-        total += word_hash[base + j] * odd[j]
-    out[whole] = mix(total)
-    for r in np.flatnonzero((n_words > 0) & (n_words < size)):
-        own = word_hash[first[r] : first[r + 1]]
-        with np.errstate(over="ignore"):
+    short = np.flatnonzero((n_words > 0) & (n_words < size))
+    both = []
+    for k, hashes in enumerate(word):
+        odd = mix(np.arange(1, size + 1, dtype=U64) + U64(k << 32)) | U64(1)
+        out = np.zeros(starts[-1], U64)
+        total = np.zeros(len(base), U64)
+        for j in range(size):
+            total += hashes[base + j] * odd[j]
+        out[whole] = mix(total)
+        for r in short:
+            own = hashes[first[r] : first[r + 1]]
             out[starts[r]] = mix(np.array([(own * odd[: len(own)]).sum(dtype=U64) + U64(len(own))], U64))[0]
-    return out, starts
+        both.append(out)
+    return both[0], both[1], starts

@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch: a few MB of ordinary documents.
@@ -52,21 +52,43 @@ def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch |
     return small_batches(df).mapInArrow(run, schema)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder; a private folder only where none is set, as in tests."""
-    spark = df.sparkSession
+def row_key(doc_id: Column, text: Column) -> Column:
+    """128 bits that stand for a row's id and text: rows of equal keys are repeats of each other."""
+    return F.unhex(F.md5(F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("-")), text)))
+
+
+def hidden(key: Column) -> Column:
+    """The same 128-bit key, as an expression that hides how its rows are dealt out.
+
+    Spark then shuffles a sum by key once more before it is joined, which costs little, and can split the
+    other side of the join where one key holds many rows.
+    """
+    return F.substring(key, 1, 16)
+
+
+def _folder(spark: SparkSession) -> str:
+    """The shared folder for checkpoints and tables; a folder of this machine only in local mode, as in tests."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="silvane-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="silvane-checkpoint-")
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in the shared folder."""
+    _folder(df.sparkSession)
     return df.checkpoint()
 
 
 def stored(df: DataFrame) -> DataFrame:
     """The same rows, written as a table to the shared folder and read back: for large results, which Parquet holds smaller."""
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        cut(spark.range(1))  # names the folder
-    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

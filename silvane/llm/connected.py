@@ -1,35 +1,24 @@
 """Connected components by alternating large and small stars, on DataFrames.
 
 Each step groups edges by node and keeps minima, so nothing but the edges themselves is held: a node of
-any degree is only summed over, and joined by Spark's skew-splitting sort-merge join. The number of
-steps grows with the logarithm of the graph. A graph of at most ``SMALL`` edges, counted first, is a
-matter of one task instead, which saves the rounds of jobs; the result is the same.
+any degree is only summed over. Minima are joined back to the edges as plain shuffles on both sides, of
+which Spark splits the edges of a node that has many. The number of steps grows with the logarithm of
+the graph; the way is the same for a graph of any size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 
-#: Edges that one task may hold.
-SMALL = 200_000
-
-
-def components(edges: DataFrame, small: int = SMALL) -> DataFrame:
-    """node, component (the smallest node of its component) for every node of the edges ``a``, ``b``.
+def components(edges: DataFrame) -> DataFrame:
+    """node, component (the smallest node of its component) for every node of the edges ``a``, ``b`` (128-bit keys).
 
     Loops are allowed, and tie a node to nothing; an edge may come in either direction and more than once.
     """
-    edges = common.cut(edges)
-    if edges.count() <= small:
-        kind = edges.schema["a"].dataType.simpleString()
-        return edges.where("a <> b").coalesce(1).mapInArrow(_joined, f"node {kind}, component {kind}")
     low, high = F.least("a", "b"), F.greatest("a", "b")
     now = common.cut(edges.where(F.col("a") != F.col("b")).select(high.alias("u"), low.alias("v")).distinct())
     before = None
@@ -46,33 +35,13 @@ def _mark(edges: DataFrame) -> tuple:
 def _large(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is tied to the least of the node's neighbourhood."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select(common.hidden(F.col("u")).alias("u"), F.least("u", "m").alias("m"))
     return both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """Every smaller neighbour of a node, and the node, are tied to the least of them."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    tied = edges.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    told = least.select(common.hidden(F.col("u")).alias("u"), "m")
+    tied = edges.join(told, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return tied.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-
-
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Union-find in which the smaller root wins."""
-    parent: dict = {}
-
-    def root(x):
-        while (up := parent.setdefault(x, x)) != x:
-            parent[x] = x = parent.setdefault(up, up)
-        return x
-
-    kind = None
-    for batch in batches:
-        kind = batch.column(0).type
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            x, y = root(a), root(b)
-            parent[max(x, y)] = min(x, y)
-    nodes = list(parent)
-    for at in range(0, len(nodes), 50_000):
-        part = nodes[at : at + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part, kind), pa.array([root(x) for x in part], kind)], ["node", "component"])

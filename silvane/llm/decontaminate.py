@@ -2,20 +2,23 @@
 
 The index of the training texts is split by document: each *segment* (a few MB of texts) is one row
 with its sorted distinct terms, the postings of each term (positions of the segment's token stream, in
-order) and the extents of its documents. Terms are 64-bit hashes of words. ``build_index`` makes the
-rows, which may be stored; ``phrases`` and ``proximity`` search them.
+order) and the extents of its documents. Terms are two independent 64-bit hashes of a word, so 128 bits
+tell words apart. ``build_index`` makes the rows, which are stored in the shared folder; ``phrases`` and
+``proximity`` search them.
 
 A phrase is searched from its rarest term in the segment: that term's postings, shifted by its offset,
 are the candidate starts, and the shifted postings of the other terms, from rare to frequent, are
 intersected with them. A phrase with a term that the segment lacks ends at once. Proximity asks for
 all terms within a span of positions, again from the rarest term.
 
-The test phrases travel to the segments. Their number is checked: they are sent in blocks of at most
-``BLOCK`` phrases, each searched against all segments, so that what is broadcast at once is bounded.
-Nothing of the training side is collected or shuffled but the results.
+The distinct test phrases travel to the segments in blocks of about ``BLOCK`` phrases, each searched
+against all segments, so that what is broadcast at once is bounded; the items that hold a phrase, however
+many, are joined to the hits afterwards. Nothing of the training side is collected or shuffled but results.
 
-Null and empty texts have no words and no hits, and null or wordless items have no phrases. Repeated
-rows are counted one by one; other columns play no part.
+Null and empty texts have no words and no hits, and null or wordless items have no phrases, nor have
+items with a null id. Repeated rows are counted one by one, repeated items once; a text longer than a
+segment is a segment of its own; a word that several phrases cover is hit once. Empty tables give no rows
+or no hits. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -29,29 +32,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .bytesops import LOWER, U64, WORDLIKE, Rolling, flat, slices, words
+from .bytesops import LOWER, U64, WORDLIKE, flat, slices, word_hashes, words
 
 WINDOW = 10
 #: Bytes of text in a segment.
-SEGMENT = 8 << 20
+SEGMENT = 2 << 20
 #: Phrases broadcast at once.
-BLOCK = 200_000
+BLOCK = 100_000
 INDEX = "segment string, docs array<long>, first array<long>, terms binary, starts binary, postings binary"
 
 
 def terms_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lower-cased words of a flat batch, and each row's first word."""
+    """The lower-cased words of a flat batch as terms (two hashes a row), and each row's first word."""
     low = LOWER[data]
     start, end, first = words(low, off, WORDLIKE)
-    return Rolling(low).ranges(start, end), first
+    return np.stack(word_hashes(low, start, end), 1), first
 
 
 def _arrays(data: np.ndarray, off: np.ndarray) -> dict:
     """The index of one segment: extents of the documents, distinct terms, starts and postings."""
     word, first = terms_of(data, off)
-    order = np.argsort(word, kind="stable")
+    order = np.argsort(word[:, 0], kind="stable")
     in_order = word[order]
-    begins = np.flatnonzero(np.r_[True, in_order[1:] != in_order[:-1]]) if len(word) else np.zeros(0, np.int64)
+    if ((in_order[1:, 0] == in_order[:-1, 0]) & (in_order[1:, 1] != in_order[:-1, 1])).any():
+        order = np.lexsort((word[:, 1], word[:, 0]))
+        in_order = word[order]
+    new = np.ones(len(word), bool)
+    new[1:] = (in_order[1:] != in_order[:-1]).any(1)
+    begins = np.flatnonzero(new)
     return {"first": first, "terms": in_order[begins].tobytes(), "starts": np.r_[begins, len(word)].astype(np.uint32).tobytes(), "postings": order.astype(np.uint32).tobytes()}
 
 
@@ -74,16 +82,21 @@ def build_index(docs: DataFrame) -> DataFrame:
 class Segment:
     def __init__(self, segment: str, docs: list, first: list | np.ndarray, terms: bytes, starts: bytes, postings: bytes) -> None:
         self.name, self.docs, self.first = segment, docs, np.array(first, np.int64)
-        self.terms = np.frombuffer(terms, U64)
+        self.terms = np.frombuffer(terms, U64).reshape(-1, 2)
         self.starts, self.positions = np.frombuffer(starts, np.uint32), np.frombuffer(postings, np.uint32)
 
     def find(self, terms: np.ndarray) -> np.ndarray:
         """Number of each term in the segment, -1 if it is not there."""
-        if not len(self.terms):
-            return np.full(len(terms), -1)
-        at = np.searchsorted(self.terms, terms)
-        at[at == len(self.terms)] = 0
-        return np.where(self.terms[at] == terms, at, -1)
+        own = self.terms[:, 0]
+        at = np.searchsorted(own, terms[:, 0])
+        out = np.full(len(terms), -1)
+        open_ = np.arange(len(terms))
+        while len(open_ := open_[at[open_] < len(own)]) and len(open_ := open_[own[at[open_]] == terms[open_, 0]]):
+            same = self.terms[at[open_], 1] == terms[open_, 1]
+            out[open_[same]] = at[open_[same]]
+            open_ = open_[~same]
+            at[open_] += 1  # words whose first hashes are equal
+        return out
 
     def postings(self, term: int) -> np.ndarray:
         return self.positions[self.starts[term] : self.starts[term + 1]].astype(np.int64)
@@ -119,30 +132,51 @@ class Segment:
 
 
 class Search:
-    """Phrases made ready for segments."""
+    """Phrases (bytes of their terms) made ready for segments."""
 
-    def __init__(self, tests: list[tuple[bytes, list[str]]]) -> None:
+    def __init__(self, tests: list[bytes]) -> None:
         self.tests = tests
-        self.sizes = np.array([len(t) // 8 for t, _ in tests], np.int64)
-        self.begins = np.r_[0, np.cumsum(self.sizes)]
-        self.distinct, self.back = np.unique(np.frombuffer(b"".join(t for t, _ in tests), U64), return_inverse=True)
-
-    def hits(self, segment: Segment) -> tuple[dict[int, set[int]], dict[int, set[str]]]:
-        """Covered word positions and items, by number of the document in the segment."""
-        hits: dict[int, set[int]] = {}
-        items: dict[int, set[str]] = {}
-        if not self.tests:
-            return hits, items
+        sizes = np.array([len(t) // 16 for t in tests], np.int64)
+        self.begins = np.r_[0, np.cumsum(sizes)]
+        every = np.frombuffer(b"".join(tests), U64).reshape(-1, 2)
+        order = np.lexsort((every[:, 1], every[:, 0]))
+        new = np.ones(len(every), bool)
+        new[1:] = (every[order][1:] != every[order][:-1]).any(1)
+        self.distinct = every[order][new]
+        self.back = np.empty(len(every), np.int64)
+        self.back[order] = np.cumsum(new) - 1
+
+    def found(self, segment: Segment) -> Iterator[tuple[int, int, np.ndarray]]:
+        """Number, size and starts of each phrase that the segment has."""
         known = segment.find(self.distinct)[self.back]
         absent = np.r_[0, np.cumsum(known < 0)]
-        for t in np.flatnonzero(absent[self.begins[1:]] == absent[self.begins[:-1]]):
-            n = int(self.sizes[t])
-            at = segment.phrase(known[self.begins[t] : self.begins[t + 1]])
-            for doc, p in zip((np.searchsorted(segment.first, at, "right") - 1).tolist(), at.tolist(), strict=True):
-                base = int(segment.first[doc])
-                hits.setdefault(doc, set()).update(range(p - base, p - base + n))
-                items.setdefault(doc, set()).update(self.tests[t][1])
-        return hits, items
+        for t in np.flatnonzero(absent[self.begins[1:]] == absent[self.begins[:-1]]).tolist():
+            own = known[self.begins[t] : self.begins[t + 1]]
+            if len(at := segment.phrase(own)):
+                yield t, len(own), at
+
+    def hits(self, segment: Segment) -> tuple[dict[int, np.ndarray], dict[int, list[bytes]]]:
+        """Covered word positions and phrases, by number of the document in the segment."""
+        docs, places, names = [], [], []
+        for t, n, at in self.found(segment):
+            doc = np.searchsorted(segment.first, at, "right") - 1
+            docs.append(np.repeat(doc, n))
+            places.append((at[:, None] + np.arange(n)).ravel())
+            names += [(d, self.tests[t]) for d in np.unique(doc).tolist()]
+        hits: dict[int, np.ndarray] = {}
+        if docs:
+            place, index = np.unique(np.concatenate(places), return_index=True)
+            doc = np.concatenate(docs)[index]
+            begin = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+            hits = {int(d): part - segment.first[d] for d, part in zip(doc[begin], np.split(place, begin[1:]), strict=True)}
+        phrases: dict[int, list[bytes]] = {}
+        for d, name in names:
+            phrases.setdefault(d, []).append(name)
+        return hits, phrases
+
+    def touched(self, segment: Segment) -> np.ndarray:
+        """Numbers of the documents with any phrase."""
+        return np.unique(np.concatenate([np.zeros(0, np.int64), *(np.searchsorted(segment.first, at, "right") - 1 for _, _, at in self.found(segment))]))
 
 
 def test_windows(benchmark: DataFrame, window: int, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -164,25 +198,25 @@ def test_windows(benchmark: DataFrame, window: int, item_col: str = "item_id", t
     return common.map_batches(source, each, "item_id string, terms binary").where("item_id is not null")
 
 
-def phrases(index: DataFrame, tests: list[tuple[bytes, list[str]]]) -> DataFrame:
-    """For each document of the index: n_words, and the positions that any phrase covers and the items it is of.
+def phrases(index: DataFrame, tests: list[bytes]) -> DataFrame:
+    """For each document of the index: n_words, the positions that any phrase covers, and the phrases.
 
-    ``tests``: terms of each phrase and the items that hold it. Results: segment and place (which tell
-    rows apart whatever their ids), doc_id, n_words, hits (covered word positions), items.
+    ``tests``: terms of each phrase. Results: segment and place (which tell rows apart whatever their
+    ids), doc_id, n_words, hits (covered word positions), phrases (their terms).
     """
-    schema = pa.schema([("segment", pa.string()), ("place", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("hits", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
+    schema = pa.schema([("segment", pa.string()), ("place", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("hits", pa.list_(pa.int64())), ("phrases", pa.list_(pa.binary()))])
     sent = index.sparkSession.sparkContext.broadcast(tests)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = Search(sent.value)
         for batch in batches:
-            for row in batch.to_pylist():
-                segment = Segment(**row)
-                hits, items = search.hits(segment)
+            for i in range(batch.num_rows):
+                segment = Segment(**batch.slice(i, 1).to_pylist()[0])
+                hits, found = search.hits(segment)
                 docs = range(len(segment.docs))
-                yield common.batch_of(schema, segment=[segment.name] * len(docs), place=list(docs), doc_id=segment.docs, n_words=np.diff(segment.first), hits=[sorted(hits.get(d, ())) for d in docs], items=[sorted(items.get(d, ())) for d in docs])
+                yield common.batch_of(schema, segment=[segment.name] * len(docs), place=list(docs), doc_id=segment.docs, n_words=np.diff(segment.first), hits=[hits.get(d, ()) for d in docs], phrases=[found.get(d, ()) for d in docs])
 
-    return common.small_batches(index).mapInArrow(run, "segment string, place long, doc_id long, n_words long, hits array<long>, items array<string>")
+    return common.small_batches(index).mapInArrow(run, "segment string, place long, doc_id long, n_words long, hits array<long>, phrases array<binary>")
 
 
 def proximity(index: DataFrame, queries: list[tuple[str, list[str]]], span: int) -> DataFrame:
@@ -191,7 +225,7 @@ def proximity(index: DataFrame, queries: list[tuple[str, list[str]]], span: int)
     hashed = []
     for _, given in queries:
         data, off = flat(pa.array([" ".join(given)]))
-        hashed.append(np.unique(terms_of(data, off)[0]))
+        hashed.append(np.unique(terms_of(data, off)[0], axis=0))
     schema = pa.schema([("query", pa.string()), ("doc_id", pa.int64()), ("position", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,30 +243,35 @@ def proximity(index: DataFrame, queries: list[tuple[str, list[str]]], span: int)
     return common.small_batches(index).mapInArrow(run, "query string, doc_id long, position long")
 
 
+def _blocks(windows: DataFrame, block: int) -> Iterator[list[bytes]]:
+    """The distinct phrases, about ``block`` at a time."""
+    distinct = common.cut(windows.select("terms").distinct())
+    parts = -(-distinct.count() // block)
+    for k in range(parts):
+        yield [bytes(t) for (t,) in distinct.where(F.pmod(F.xxhash64("terms"), F.lit(parts)) == k).collect()]
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """doc_id, n_words, hits (positions of covered words) and items of every document."""
-    grouped = test_windows(benchmark, window).groupBy("terms").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
-    n = grouped.count()
-    if n <= block:
-        return phrases(build_index(docs), [(bytes(t), i) for t, i in grouped.collect()])
-    # More test phrases than one broadcast may hold: the stored index is searched block by block.
-    stored, parts, out = common.cut(build_index(docs)), 2 * -(-n // block), None
-    for k in range(parts):
-        own = [(bytes(t), i) for t, i in grouped.where(F.pmod(F.xxhash64("terms"), F.lit(parts)) == k).collect()]
-        found = phrases(stored, own)
-        out = found if out is None else out.unionByName(found)
-    together = lambda name: F.array_sort(F.array_distinct(F.flatten(F.collect_list(name)))).alias(name)
-    return out.groupBy("segment", "place").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), together("hits"), together("items"))
+    stored, windows = common.stored(build_index(docs)), common.cut(test_windows(benchmark, window))
+    found = [phrases(stored, own) for own in _blocks(windows, block)] or [phrases(stored, [])]
+    every = found[0]
+    if len(found) > 1:
+        for more in found[1:]:
+            every = every.unionByName(more)
+        together = lambda name: F.array_sort(F.array_distinct(F.flatten(F.collect_list(name)))).alias(name)
+        every = every.groupBy("segment", "place").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), together("hits"), together("phrases"))
+    every = common.stored(every)
+    held = every.select("segment", "place", F.explode("phrases").alias("terms")).join(windows, "terms")
+    items = held.groupBy("segment", "place").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    nothing = F.array().cast("array<string>")
+    return every.drop("phrases").join(items, ["segment", "place"], "left").withColumn("items", F.coalesce("items", nothing))
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
-    """The documents without any test window, with all their columns. No shuffle of the documents."""
-    grouped = test_windows(benchmark, window).groupBy("terms").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
-    n = grouped.count()
-    parts = 1 if n <= block else 2 * -(-n // block)
+    """The documents without any test window, with all their columns. No shuffle of the documents; their index is not stored."""
     text_at, out = docs.columns.index("text"), docs
-    for k in range(parts):
-        own = [(bytes(t), i) for t, i in grouped.where(F.pmod(F.xxhash64("terms"), F.lit(parts)) == k).collect()]
+    for own in _blocks(common.cut(test_windows(benchmark, window)), block):
         out = common.small_batches(out).mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(own), text_at), docs.schema)
     return out
 
@@ -244,8 +283,7 @@ def _clean(sent, text_at: int):
             data, off = flat(batch.column(text_at))
             keep = np.ones(batch.num_rows, bool)
             for a, b in slices(off, SEGMENT):
-                hits, _ = search.hits(Segment("", [], **_arrays(data[off[a] : off[b]], off[a : b + 1] - off[a])))
-                keep[[a + d for d in hits]] = False
+                keep[a + search.touched(Segment("", [], **_arrays(data[off[a] : off[b]], off[a : b + 1] - off[a])))] = False
             yield batch.filter(pa.array(keep))
 
     return run

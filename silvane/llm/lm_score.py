@@ -10,15 +10,18 @@ depends on the context alone, and the probability of a symbol is a function of t
 before it and itself (a *gram*).
 
 Nothing of the trie is broadcast but its two lowest orders, at most 65,536 counts. Documents are dealt
-to blocks by a hash. Each block asks for its distinct grams and words, with their training counts in
-it; counts are summed over blocks; grams are grouped by the last two bytes of their context, where all
-longer contexts that they need meet, and get their probability; the answers are joined back to the
-blocks that asked, and each block scores its texts. What is gathered thus grows with the input, and a
-frequent gram or word is one row a block, however often it occurs.
-
-Words and grams are keyed by 64-bit hashes and by the bytes themselves. Null and empty texts are their
-end alone. Repeated rows are scored one by one; rows with a null id are in the training part. Without
-training rows the base is 0 and the model is uniform. Other columns play no part.
+to blocks of about ``BLOCK`` bytes as they are read, whatever their ids. Each block asks for its distinct
+grams and words, with their training counts in it; counts are summed over blocks. Grams are grouped by the
+last three bytes of their context, where all longer contexts that they need meet; order 2, which such
+groups share, is summed once and sent to each. Groups are hashed to tasks of about ``PRICED`` grams: one
+frequent pair of bytes is spread over ``SPREAD`` of them. The answers are joined back to the blocks that
+asked, and each block scores its texts. What is gathered thus grows with the input, and a frequent gram
+or word is one row a block, however often it occurs.
+
+Grams are keyed by their bytes, words by 128 bits of hash. Null and empty texts are their end alone.
+Repeated rows are scored one by one; rows with a null id are in the training part. A very long text makes
+its block as large as itself. Ties don't arise: the result is one number a row. Without training rows the
+base is 0 and the model is uniform. Empty tables give no rows. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -27,12 +30,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .bytesops import LOWER, NON_SPACE, U64, Rolling, words
+from .bytesops import LOWER, NON_SPACE, U64, flat, slices, word_hashes, words
 
 # Freed Arrow memory goes back to the system, not to a pool: blocks are large and workers live long.
 pa.set_memory_pool(pa.system_memory_pool())
@@ -41,10 +44,13 @@ ORDER = 5
 SYMBOLS = 257
 #: Bytes of text of a block, on average, and of a stretch worked on at once.
 BLOCK, SLICE = 20 << 20, 1 << 20
+#: Texts of a block at most.
+TEXTS = 1_000_000
+#: Grams that one task prices, on average, and tasks that the grams of one pair of bytes are dealt to.
+PRICED, SPREAD = 32_000, 16
 START, END = 0xFF, 0xFE
-#: Key of the end token among the words.
-END_WORD = np.int64(0x5EED)
-WORD, GRAM = 0, 1
+#: Keys of the end token among the words. The second key of a word is odd, that of a gram 0.
+END_WORD = (np.int64(0x5EED), np.int64(1))
 
 
 def grams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,14 +72,16 @@ def grams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out[place], first
 
 
-def word_keys(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lower-cased words of each row, and each row's first."""
+def word_keys(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two hashes of the lower-cased words of each row, and each row's first."""
     low = LOWER[data]
     start, end, first = words(low, off, NON_SPACE)
-    return Rolling(low).ranges(start, end).view(np.int64), first
+    one, two = word_hashes(low, start, end)
+    return one.view(np.int64), (two | U64(1)).view(np.int64), first
 
 
 def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and their summed counts."""
     if not sum(map(len, keys)):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     every, n = np.concatenate(keys), np.concatenate(counts)
@@ -83,19 +91,85 @@ def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return every[begin], np.add.reduceat(n, begin)
 
 
-def _blocks(docs: DataFrame, count: int) -> DataFrame:
-    """block, doc_id, held_out and the compressed text."""
-    schema = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("packed", pa.binary())])
+def _merge_words(one: list[np.ndarray], two: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for keys of two parts."""
+    if not sum(map(len, one)):
+        return (np.zeros(0, np.int64),) * 3
+    a, b, n = np.concatenate(one), np.concatenate(two), np.concatenate(counts)
+    order = np.lexsort((b, a))
+    a, b, n = a[order], b[order], n[order]
+    begin = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    return a[begin], b[begin], np.add.reduceat(n, begin)
+
+
+class _Asked:
+    """Distinct words and grams of a block, with their counts in its training texts, as texts come in."""
+
+    def __init__(self) -> None:
+        self.size, self.texts, self.train = 0, 0, 0
+        self.grams: tuple[list, list] = ([], [])
+        self.words: tuple[list, list, list] = ([], [], [])
+
+    def add(self, data: np.ndarray, off: np.ndarray, held_out: bool) -> None:
+        self.size += len(data)
+        self.texts += len(off) - 1
+        self.train += 0 if held_out else len(off) - 1
+        keys, n = np.unique(grams(data, off)[0], return_counts=True)
+        self.grams[0].append(keys)
+        self.grams[1].append(n * (not held_out))
+        one, two, _ = word_keys(data, off)
+        one, two, n = _merge_words([one], [two], [np.ones(len(one), np.int64)])
+        for kept, new in zip(self.words, (one, two, n * (not held_out)), strict=True):
+            kept.append(new)
+        if len(self.grams[0]) >= 8:
+            self.grams = tuple([x] for x in _merge(*self.grams))
+            self.words = tuple([x] for x in _merge_words(*self.words))
+
+    def rows(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """key, key2, n, in parts."""
+        one, two, n = _merge_words(*self.words)
+        yield np.append(one, END_WORD[0]), np.append(two, END_WORD[1]), np.append(n, self.train)
+        keys, n = _merge(*self.grams)
+        for at in range(0, len(keys), 200_000):
+            part = keys[at : at + 200_000]
+            yield part, np.zeros(len(part), np.int64), n[at : at + 200_000]
+
+
+def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
+    """Rows of two sorts: block, doc_id, held_out and the compressed text; and block, key, key2 and n of what the block asks for."""
+    size = common.id_text(docs).agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    schema = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("packed", pa.binary()), ("key", pa.int64()), ("key2", pa.int64()), ("n", pa.int64())])
+
+    def asked(block: int, of: _Asked) -> Iterator[pa.RecordBatch]:
+        for key, key2, n in of.rows():
+            none = [pa.nulls(len(key), f.type) for f in list(schema)[1:4]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), block)), *none, *map(pa.array, (key, key2, n))], schema=schema)
 
-    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         squeeze = zstandard.ZstdCompressor(level=1).compress
-        return common.batch_of(schema, block=batch.column("block"), doc_id=batch.column("doc_id"), held_out=batch.column("held_out"), packed=[squeeze(t) for t in batch.column("text").cast(pa.binary()).to_pylist()])
+        block, now = TaskContext.get().partitionId() << 32, _Asked()
+        for whole in batches:
+            held = whole.column("held_out").to_numpy(zero_copy_only=False)
+            for held_out in (False, True):
+                batch = whole.filter(pa.array(held == held_out))
+                data, off = flat(batch.column("text"))
+                for a, b in slices(off, SLICE):
+                    now.add(data[off[a] : off[b]], off[a : b + 1] - off[a], held_out)
+                    packed = [squeeze(data[off[i] : off[i + 1]]) for i in range(a, b)]
+                    none = [pa.nulls(b - a, pa.int64())] * 3
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, block)), batch.column("doc_id").slice(a, b - a), batch.column("held_out").slice(a, b - a), pa.array(packed, pa.binary()), *none], schema=schema)
+                    if now.size >= block_bytes or now.texts >= TEXTS:
+                        yield from asked(block, now)
+                        block, now = block + 1, _Asked()
+        if now.texts:
+            yield from asked(block, now)
 
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
-    source = common.id_text(docs).select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(count)).alias("block"), "doc_id", held_out.alias("held_out"), "text")
-    return common.map_batches(source, each, "block long, doc_id long, held_out boolean, packed binary")
+    # Neighbouring parts of the input are read by one task, so that blocks are not much smaller than asked for.
+    source = common.id_text(docs).select("doc_id", held_out.alias("held_out"), "text").coalesce(max(1, -(-size // block_bytes)))
+    return common.small_batches(source).mapInArrow(run, "block long, doc_id long, held_out boolean, packed binary, key long, key2 long, n long")
 
 
 def _opened(packed: pa.ChunkedArray | pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -115,31 +189,6 @@ def _opened(packed: pa.ChunkedArray | pa.Array) -> Iterator[tuple[int, int, np.n
         yield first, first + len(held), np.frombuffer(b"".join(held), np.uint8), np.cumsum([0, *map(len, held)])
 
 
-def _asked(block: pa.Table) -> Iterator[pa.RecordBatch]:
-    """Distinct words and grams of a block, with their counts in its training texts."""
-    kept: dict[int, tuple[list, list]] = {WORD: ([], []), GRAM: ([], [])}
-    n_train = 0
-    for held_out in (False, True):
-        part = block.filter(pa.compute.equal(block["held_out"], held_out))
-        n_train += 0 if held_out else part.num_rows
-        for _, _, data, off in _opened(part["packed"]):
-            for kind, make in ((WORD, word_keys), (GRAM, grams)):
-                keys, counts = np.unique(make(data, off)[0], return_counts=True)
-                kept[kind][0].append(keys)
-                kept[kind][1].append(counts * (not held_out))
-                if len(kept[kind][0]) >= 8:
-                    kept[kind] = tuple([x] for x in _merge(*kept[kind]))
-    kept[WORD][0].append(np.array([END_WORD]))
-    kept[WORD][1].append(np.array([n_train]))
-    schema = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64())])
-    name = block["block"][0].as_py()
-    for kind, (keys, counts) in kept.items():
-        key, n = _merge(keys, counts)
-        for at in range(0, len(key), 200_000):
-            part = slice(at, at + 200_000)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key[part]), name), pa.int64()), pa.array(np.full(len(key[part]), kind), pa.int32()), pa.array(key[part]), pa.array(n[part])], schema=schema)
-
-
 class _Level:
     """Counts of the symbols after contexts of one order: keys are context bytes and symbol."""
 
@@ -178,9 +227,10 @@ def _types(longer: np.ndarray, order: int) -> _Level:
 
 def log_probability(wanted: np.ndarray, keys: np.ndarray, counts: np.ndarray, low: list[_Level]) -> np.ndarray:
     """log10 of each wanted gram's probability. ``keys``, ``counts``: the training grams that share the
-    last two context bytes with any wanted one, sorted; ``low``: levels of orders 0 and 1 of all training texts."""
+    last three context bytes with any wanted one, sorted; ``low``: levels of orders 0, 1 and 2, of order 2
+    at least those contexts that the wanted grams have."""
     levels = [_Level(keys, counts)]
-    for order in range(ORDER - 1, 1, -1):
+    for order in range(ORDER - 1, 2, -1):
         levels.append(_types(levels[-1].keys, order))
     levels = [*low, *reversed(levels)]
     out = np.zeros(len(wanted))
@@ -210,77 +260,91 @@ def log_probability(wanted: np.ndarray, keys: np.ndarray, counts: np.ndarray, lo
 class _Index:
     """Values by key, for keys that are all there: buckets of a multiplicative hash, searched in steps."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+    def __init__(self, keys: np.ndarray, values: np.ndarray, second: np.ndarray | None = None) -> None:
         self.bits = max(8, int(len(keys)).bit_length())
         place = self._hash(keys)
         order = np.argsort(place)
-        self.keys, self.values = keys[order], values[order]
+        self.keys, self.values, self.second = keys[order], values[order], None if second is None else second[order]
         self.begin = np.zeros(1 << self.bits, np.int32)
         np.cumsum(np.bincount(place, minlength=1 << self.bits)[:-1], out=self.begin[1:])
 
     def _hash(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.view(U64) * U64(0x9E3779B97F4A7C15)) >> U64(64 - self.bits)).astype(np.int64)
+        return ((keys.view(U64) * U64(0x9E3779B97F4A7C15)) >> U64(64 - self.bits)).astype(np.int32)
 
-    def get(self, wanted: np.ndarray) -> np.ndarray:
+    def get(self, wanted: np.ndarray, second: np.ndarray | None = None) -> np.ndarray:
         at = self.begin[self._hash(wanted)]
-        wrong = np.flatnonzero(self.keys[at] != wanted)
+        wrong = self._wrong(at, np.arange(len(wanted)), wanted, second)
         while len(wrong):
             at[wrong] += 1
-            wrong = wrong[self.keys[at[wrong]] != wanted[wrong]]
+            wrong = self._wrong(at, wrong, wanted, second)
         return self.values[at]
 
+    def _wrong(self, at: np.ndarray, which: np.ndarray, wanted: np.ndarray, second: np.ndarray | None) -> np.ndarray:
+        own = at[which]
+        wrong = self.keys[own] != wanted[which]
+        if second is not None:
+            wrong |= self.second[own] != second[which]
+        return which[wrong]
+
 
-def score(docs: DataFrame, block_bytes: int = BLOCK) -> DataFrame:
+def score(docs: DataFrame, block_bytes: int = BLOCK, priced: int = PRICED) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    size = common.id_text(docs).agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    dealt = _blocks(docs, max(1, -(-size // block_bytes)))
-    asked = common.stored(dealt.groupBy("block").applyInArrow(_asked_table, "block long, kind int, key long, n long"))
-    counts = asked.groupBy("kind", "key").agg(F.sum("n").alias("n"))
-    told = counts.where(F.col("kind") == WORD).agg(F.sum("n"), F.count(F.when(F.col("n") > 0, 1))).first()
+    both = common.stored(_blocks(docs, block_bytes))
+    asked, texts = both.where("key is not null").select("block", "key", "key2", "n"), both.where("key is null").select(F.col("block").alias("of"), "doc_id", "held_out", "packed")
+    rows = asked.count()
+    counts = asked.groupBy("key", "key2").agg(F.sum("n").alias("n"))
+    told = counts.where("key2 <> 0").agg(F.sum("n"), F.count(F.when(F.col("n") > 0, 1))).first()
     n_train, n_distinct = int(told[0] or 0), int(told[1] or 0)
-    # Distinct grams of order 2 give the counts of order 1, at most 65,536, and those the counts of order 0.
-    threes = asked.where((F.col("kind") == GRAM) & (F.col("n") > 0)).select(F.col("key").bitwiseAND(0xFFFFFF).alias("key")).distinct()
+    # Distinct grams of order 3 give the counts of order 2, those the counts of order 1, at most 65,536, and those the counts of order 0.
+    fours = asked.where("key2 = 0 and n > 0").select(F.col("key").bitwiseAND(0xFFFFFFFF).alias("key")).distinct()
+    threes = common.cut(fours.groupBy(F.col("key").bitwiseAND(0xFFFFFF).alias("key")).agg(F.count("*").alias("n")))
     pairs = threes.groupBy(F.col("key").bitwiseAND(0xFFFF).alias("pair")).agg(F.count("*").alias("n")).collect()
     pair_keys = np.array(sorted((r[0], r[1]) for r in pairs), np.int64).reshape(-1, 2)
     low = [_types(pair_keys[:, 0], 0), _Level(pair_keys[:, 0], pair_keys[:, 1])]
-    gram_schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("value", pa.float64())])
-
-    def priced(group: pa.Table) -> pa.Table:
-        keys, n = group["key"].to_numpy(), group["n"].to_numpy()
+    groups = -(-rows // (priced * SPREAD))
+    pair = F.pmod(F.xxhash64(F.shiftrightunsigned("key", 8).bitwiseAND(0xFFFF)), F.lit(max(1, groups))).alias("pair")
+    third = F.pmod(F.xxhash64(F.shiftrightunsigned("key", 24).bitwiseAND(0xFF)), F.lit(SPREAD)).alias("third")
+    wanted = counts.where("key2 = 0").select(pair, third, "key", "n", F.lit(False).alias("two"))
+    shared = threes.select(pair, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))).alias("third"), "key", "n", F.lit(True).alias("two"))
+    gram_schema = pa.schema([("key", pa.int64()), ("key2", pa.int64()), ("value", pa.float64())])
+
+    def price(group: pa.Table) -> pa.Table:
+        keys, n, two = (group[c].to_numpy() for c in ("key", "n", "two"))
         order = np.argsort(keys)
-        keys, n = keys[order], n[order]
-        value = log_probability(keys, keys[n > 0], n[n > 0], low)
-        return pa.Table.from_arrays([pa.array(np.full(len(keys), GRAM), pa.int32()), pa.array(keys), pa.array(value)], schema=gram_schema)
-
-    by_context = counts.where(F.col("kind") == GRAM).withColumn("context", F.shiftrightunsigned("key", 8).bitwiseAND(0xFFFF))
-    priced_grams = by_context.groupBy("context").applyInArrow(priced, "kind int, key long, value double")
-    answers = priced_grams.unionByName(counts.where(F.col("kind") == WORD).select("kind", "key", F.col("n").cast("double").alias("value")))
-    back = asked.select("block", "kind", "key").join(answers, ["kind", "key"]).select("block", "kind", "key", "value")
+        keys, n, two = keys[order], n[order], two[order]
+        own, own_n = keys[~two], n[~two]
+        value = log_probability(own, own[own_n > 0], own_n[own_n > 0], [*low, _Level(keys[two], n[two])]) if len(own) else np.zeros(0)
+        return pa.Table.from_arrays([pa.array(own), pa.array(np.zeros(len(own), np.int64)), pa.array(value)], schema=gram_schema)
+
+    answers = wanted.unionByName(shared).groupBy("pair", "third").applyInArrow(price, "key long, key2 long, value double")
+    answers = answers.unionByName(counts.where("key2 <> 0").select("key", "key2", F.col("n").cast("double").alias("value")))
+    back = asked.select("block", "key", "key2").join(answers, ["key", "key2"]).select("block", "key", "key2", "value")
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
-    def scored(texts: pa.Table, found: pa.Table) -> pa.Table:
-        gram, word = (_Index(part["key"].to_numpy(), part["value"].to_numpy()) for part in (found.filter(pa.compute.equal(found["kind"], k)) for k in (GRAM, WORD)))
+    def scored(own: pa.Table, found: pa.Table) -> pa.Table:
+        key, key2, value = (found[c].to_numpy() for c in ("key", "key2", "value"))
+        del found
+        is_word = key2 != 0
+        word = _Index(key[is_word], value[is_word], key2[is_word])
+        del key2
+        gram = _Index(key[~is_word], value[~is_word])
+        del key, value, is_word
         of_word = lambda c: np.log10((c + 1) / (n_train + n_distinct + 1))
-        end = float(word.get(np.array([END_WORD]))[0])
+        end = float(word.get(*(np.array([x]) for x in END_WORD))[0])
         parts: list[list[np.ndarray]] = [[], [], [], []]
-        for _, _, data, off in _opened(texts["packed"]):
+        for _, _, data, off in _opened(own["packed"]):
             g, g_first = grams(data, off)
             parts[3].append(np.add.reduceat(gram.get(g), g_first[:-1]))
-            w, first = word_keys(data, off)
-            c = word.get(w)
-            sums = [np.concatenate([[0.0], np.cumsum(x)]) for x in (c > 0, of_word(c))]
+            one, two, first = word_keys(data, off)
+            c = word.get(one, two)
+            known = np.concatenate([[0.0], np.cumsum(c > 0)])
             parts[0].append(np.diff(first) + 1)
-            parts[1].append(sums[0][first[1:]] - sums[0][first[:-1]] + (end > 0))
+            parts[1].append(known[first[1:]] - known[first[:-1]] + (end > 0))
             parts[2].append(np.array([x.sum() for x in np.split(of_word(c), first[1:-1])]) + of_word(end))
         tokens, n_known, base, model = (np.concatenate(p) if p else np.zeros(0) for p in parts)
-        return pa.Table.from_arrays([texts["doc_id"].combine_chunks(), texts["held_out"].combine_chunks(), pa.array(tokens.astype(np.int64)), pa.array(n_known.astype(np.int64)), pa.array(np.full(len(tokens), n_train, np.int64)), pa.array(base), pa.array(model)], schema=schema)
-
-    done = dealt.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    return done
-
+        return pa.Table.from_arrays([own["doc_id"].combine_chunks(), own["held_out"].combine_chunks(), pa.array(tokens.astype(np.int64)), pa.array(n_known.astype(np.int64)), pa.array(np.full(len(tokens), n_train, np.int64)), pa.array(base), pa.array(model)], schema=schema)
 
-def _asked_table(block: pa.Table) -> pa.Table:
-    return pa.Table.from_batches(list(_asked(block)))
+    return texts.groupBy("of").cogroup(back.groupBy("block")).applyInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ number made at tokenisation tells them apart). Empty tables give no rows. Other
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -27,88 +27,157 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .bytesops import flat, slices
+from .bytesops import LOWER, U64, byte_class, flat, slices, word_hashes, words
 
 CAPACITY = 2048
 END_ID = 1
 #: Width of a length class; the tail of a document counts as the next multiple.
 STEP = 8
-#: Segments whose ids a worker keeps; beyond it the table starts afresh (a matter of speed only).
-TABLE = 500_000
-KEEP = 48
-#: Bytes of text tokenised at once.
-TOKENISE = 4 << 20
+#: Units, and ids of units, that a worker keeps; beyond either the table starts afresh (a matter of speed only).
+UNITS, IDS = 2_000_000, 8_000_000
+#: Units that the library encodes in one text.
+JOINED = 128
+#: Bytes of text tokenised at once; a longer text is taken alone.
+TOKENISE = 1 << 20
 PIECES = "task long, row long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class long, nth long"
 _SEPARATOR = "<|endoftext|>"
 
 
+class Units:
+    """Ids of units of text by two hashes: an open-addressing table of numpy arrays, searched for many units at once."""
+
+    def __init__(self) -> None:
+        self.size = self.used = 0
+        self.keys = np.zeros((2, 1 << 12), U64)
+        self.slots = np.full(1 << 13, -1, np.int32)
+        self.begin, self.count = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.ids = np.zeros(1 << 14, "<u4")
+
+    def find(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Number of each unit, -1 if it is not there."""
+        mask = len(self.slots) - 1
+        slot = (one & U64(mask)).astype(np.int64)
+        out = self.slots[slot]
+        todo = np.flatnonzero(out >= 0)
+        while len(todo := todo[(self.keys[0][out[todo]] != one[todo]) | (self.keys[1][out[todo]] != two[todo])]):
+            slot[todo] = (slot[todo] + 1) & mask
+            out[todo] = self.slots[slot[todo]]
+            todo = todo[out[todo] >= 0]
+        return out
+
+    def add(self, one: np.ndarray, two: np.ndarray, ids: list[np.ndarray]) -> None:
+        """Units that are not there yet, each once."""
+        first, flat_ids = self.size, np.concatenate(ids)
+        self.size += len(one)
+        while self.size > self.keys.shape[1]:
+            self.keys = np.concatenate([self.keys, np.zeros_like(self.keys)], 1)
+            self.begin, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.count))
+        while self.used + len(flat_ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        own = slice(first, self.size)
+        self.keys[0, own], self.keys[1, own] = one, two
+        self.count[own] = list(map(len, ids))
+        self.begin[own] = self.used + np.concatenate([[0], np.cumsum(self.count[own])[:-1]])
+        self.ids[self.used : self.used + len(flat_ids)] = flat_ids
+        self.used += len(flat_ids)
+        new = np.arange(first, self.size)
+        if 2 * self.size > len(self.slots):
+            self.slots, new = np.full(4 * len(self.slots), -1, np.int32), np.arange(self.size)
+        mask = len(self.slots) - 1
+        slot = (self.keys[0, new] & U64(mask)).astype(np.int64)
+        while len(new):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = new[free]
+            lost = self.slots[slot] != new  # of several for one slot the last has it
+            new, slot = new[lost], (slot[lost] + 1) & mask
+
+
 class Encoder:
-    """Ids of texts by a tokenizer none of whose tokens crosses a space; each distinct segment is encoded once."""
+    """Ids of texts by a tokenizer none of whose tokens crosses a space; each distinct unit is encoded once.
+
+    A segment (between spaces) that is a run of letters and then of simple signs is two units, which the
+    tokenizer never joins; any other segment is one.
+    """
 
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.separator = self.library.token_to_id(_SEPARATOR)
-        self.table: dict[str, bytes] = {"": b""}
-        self.units: dict[str, bytes] = {"": b""}
+        self.units = Units()
         names = sorted((i, x) for x, i in self.library.get_vocab().items())
         self.ends = np.array([x.endswith("</w>") for _, x in names])
         self.separates = np.array([i == self.separator for i, _ in names])
 
-    def _split(self, joined: str, ends: np.ndarray) -> list[bytes]:
-        """Ids of an encoded text, cut after each id that ``ends`` marks."""
-        ids = np.array(self.library.encode(joined, add_special_tokens=False).ids, "<u4")
-        at = (np.flatnonzero(ends[ids]) + 1) * 4
-        raw = ids.tobytes()
-        return [raw[i:j] for i, j in zip([0, *at[:-1].tolist()], at.tolist(), strict=True)] if len(at) else []
-
-    def _learn(self, words: list[str]) -> None:
-        """Encode new segments. Most are a run of letters and one of signs, each a unit of its own for the
-        tokenizer: those are encoded once for all segments they are in, and told apart by their end marks."""
-        if len(self.table) + len(words) > TABLE:
-            self.table.clear()
-            self.table[""] = b""
-        if len(self.units) > TABLE:
-            self.units.clear()
-            self.units[""] = b""
-        parts = [_UNITS.fullmatch(w) for w in words]
-        need = {x for m in parts if m for x in (m[1].lower(), m[2])}
-        fresh = [x for x in need if x not in self.units]
-        if fresh:
-            self.units.update(zip(fresh, self._split(" ".join(fresh), self.ends), strict=True))
-        units = self.units
-        self.table.update((w, units[m[1].lower()] + units[m[2]]) for w, m in zip(words, parts, strict=True) if m)
-        other = [w for w, m in zip(words, parts, strict=True) if not m]
-        if other:
-            got = self._split(_SEPARATOR.join(other) + _SEPARATOR, self.separates)
-            self.table.update((w, x[:-4]) for w, x in zip(other, got, strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new: set[str] = set()
-        for words in split:
-            new.update(set(words).difference(self.table))
-        simple = [w for w in new if len(w) <= KEEP and "<|" not in w]
-        if len(simple) + len(self.table) > TABLE:
-            simple = list({w for words in split for w in words if len(w) <= KEEP and "<|" not in w})
-        if simple:
-            self._learn(simple)
-        out = []
-        for words in split:
-            try:
-                out.append(b"".join(map(self.table.__getitem__, words)))
-            except KeyError:
-                out.append(b"".join(self.table[w] if w in self.table else self._alone(w) for w in words))
-        return out
-
-    def _alone(self, word: str) -> bytes:
-        return np.array(self.library.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-
-
-#: Letters without case or composition surprises, then simple punctuation: the two never share a token.
-_UNITS = re.compile(r"([A-Za-zß-öø-ÿ]+)([.,;:!?%$&*#|]*)")
+    def _split(self, joined: list[str], ends: np.ndarray, drop: int) -> list[np.ndarray]:
+        """Ids of encoded texts, cut after each id that ``ends`` marks."""
+        ids = np.array([i for e in self.library.encode_batch_fast(joined, add_special_tokens=False) for i in e.ids], "<u4")
+        at = np.flatnonzero(ends[ids]) + 1
+        return [x[: len(x) - drop] for x in np.split(ids, at)[:-1]]
+
+    def _learn(self, low: np.ndarray, start: np.ndarray, end: np.ndarray, plain: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
+        """Encode new units: plain ones together, told apart by their end marks, others between separators or alone."""
+        raw = low.tobytes()
+        texts = [raw[a:b].decode() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+        alone = np.array([not p and "<|" in t for p, t in zip(plain.tolist(), texts, strict=True)], bool)
+        for kind in (plain, ~plain & ~alone, alone):
+            which = np.flatnonzero(kind)
+            if not len(which):
+                continue
+            own = [texts[i] for i in which.tolist()]
+            if kind is alone:
+                ids = [np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4") for t in own]
+            elif kind is plain:
+                ids = self._split([" ".join(own[i : i + JOINED]) for i in range(0, len(own), JOINED)], self.ends, 0)
+            else:
+                ids = self._split([_SEPARATOR.join(own[i : i + JOINED]) + _SEPARATOR for i in range(0, len(own), JOINED)], self.separates, 1)
+            self.units.add(one[which], two[which], ids)
+
+    def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows of a flat batch, and each row's first."""
+        if self.units.size > UNITS or self.units.used > IDS:
+            self.units = Units()
+        start, end, first = words(data, off, _BETWEEN_SPACES)
+        letter, sign = _LETTER[data], _SIGN[data]
+        pair = (data[:-1] == 0xC3) & _AFTER_C3[data[1:]]  # letters of two bytes
+        letter[:-1] |= pair
+        letter[1:] |= pair
+        odd = ~(letter | sign)
+        odd[1:] |= letter[1:] & sign[:-1]
+        odd[start[letter[start]]] = False  # the sign before is of the row before
+        sums = lambda mask: np.concatenate([[0], np.cumsum(mask, dtype=np.int32)])
+        odds, letters = sums(odd), sums(letter)
+        simple = (odds[end] == odds[start]) & letter[start]
+        inside = np.zeros(len(data) + 1, np.int8)
+        inside[start[simple]] = 1
+        inside[end[simple]] -= 1
+        low = np.where(np.cumsum(inside[:-1], dtype=np.int8) > 0, LOWER[data], data)
+        middle = np.where(simple, start + letters[end] - letters[start], end)
+        two_units = middle < end
+        place = np.concatenate([[0], np.cumsum(1 + two_units)])
+        u_start, u_end, plain = np.empty(place[-1], np.int64), np.empty(place[-1], np.int64), np.empty(place[-1], bool)
+        u_start[place[:-1]], u_end[place[:-1]], plain[place[:-1]] = start, middle, simple
+        second = place[:-1][two_units] + 1
+        u_start[second], u_end[second], plain[second] = middle[two_units], end[two_units], True
+        one, two = word_hashes(low, u_start, u_end)
+        number = self.units.find(one, two)
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            order = new[np.lexsort((two[new], one[new]))]
+            fresh = order[np.r_[True, (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])]]
+            self._learn(low, u_start[fresh], u_end[fresh], plain[fresh], one[fresh], two[fresh])
+            number[new] = self.units.find(one[new], two[new])
+        n = self.units.count[number]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = self.units.ids[np.repeat(self.units.begin[number] - ends[:-1], n) + np.arange(ends[-1])]
+        return ids, ends[place[first]]
+
+
+_BETWEEN_SPACES = byte_class((0x20, 0x20), (0x0A, 0x0A), negate=True)
+#: Letters without surprises of case or composition (those of two bytes begin with C3), and simple signs: the two never share a token.
+_LETTER, _AFTER_C3 = byte_class((0x41, 0x5A), (0x61, 0x7A)), byte_class((0x9F, 0xB6), (0xB8, 0xBF))
+_SIGN = byte_class(*((ord(c), ord(c)) for c in ".,;:!?%$&*#|"))
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -118,6 +187,23 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def stretches(data: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """One text in parts of about ``most`` bytes, cut after spaces."""
+    at = 0
+    while len(data) - at > most:
+        spaces = np.flatnonzero(data[at : at + most] == 0x20)
+        end = at + most
+        while not len(spaces) and end < len(data):
+            spaces = np.flatnonzero(data[end : end + most] == 0x20) + (end - at)
+            end += most
+        if not len(spaces):
+            break
+        upto = at + int(spaces[-1]) + 1
+        yield data[at:upto]
+        at = upto
+    yield data[at:]
+
+
 # --- the linear program -------------------------------------------------------------------------
 
 
@@ -245,7 +331,6 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, step: int, end_id: i
     """
     schema = pa.schema([("task", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("class", pa.int64()), ("nth", pa.int64())])
     classes = -(-capacity // step)
-    end = np.array([end_id], "<u4").tobytes()
     source = common.small_batches(common.id_text(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,21 +339,33 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, step: int, end_id: i
         machine = encoder(public_tokenizers.path(vocabulary))
         task, seen, row = TaskContext.get().partitionId(), np.zeros(classes + 1, np.int64), 0
         for batch in batches:
-            texts, ids = batch.column("text"), batch.column("doc_id").to_pylist()
-            _, off = flat(texts)
+            data, off = flat(batch.column("text"))
             for first, last in slices(off, TOKENISE):
-                rows: list[tuple] = []
-                for i, got in enumerate(machine.encode(texts[first:last].to_pylist()), first):
-                    got += end
-                    n = len(got) // 4
-                    for start in range(0, n, capacity):
-                        length = min(capacity, n - start)
-                        kind = 0 if length == capacity else -(-length // step)
-                        rows.append((task, row, ids[i], start, length, zlib.crc32(got[4 * start : 4 * (start + length)]), n, kind, seen[kind]))
-                        seen[kind] += 1
-                    row += 1
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                if last == first + 1 and off[last] - off[first] > TOKENISE:
+                    own = np.concatenate([machine.encode(part, np.array([0, len(part)]))[0] for part in stretches(data[off[first] : off[last]], TOKENISE)])
+                    begins = np.array([0, len(own)])
+                else:
+                    own, begins = machine.encode(data[off[first] : off[last]], off[first : last + 1] - off[first])
+                # Every document's ids and its end id, one after the other.
+                size = np.diff(begins) + 1
+                ids = np.insert(own, begins[1:], end_id)
+                begins = np.concatenate([[0], np.cumsum(size)])
+                n = -(-size // capacity)
+                doc = np.repeat(np.arange(len(size)), n)
+                start = (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)) * capacity
+                length = np.minimum(capacity, size[doc] - start)
+                kind = np.where(length == capacity, 0, -(-length // step))
+                at = begins[doc] + start
+                raw = memoryview(ids.astype("<u4")).cast("B")
+                sums = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at.tolist(), (at + length).tolist(), strict=True)]
+                # Numbers within the class: places in a stable order by class.
+                order = np.argsort(kind, kind="stable")
+                many = np.bincount(kind, minlength=classes + 1)
+                nth = np.empty(len(kind), np.int64)
+                nth[order] = np.arange(len(kind)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(seen, many)
+                seen += many
+                yield common.batch_of(schema, task=np.full(len(doc), task), row=row + doc, doc_id=batch.column("doc_id").take(pa.array(first + doc)), start=start, length=length, ids_crc32=sums, doc_tokens=size[doc], **{"class": kind}, nth=nth)
+                row += len(size)
 
     return source.mapInArrow(run, PIECES)
 

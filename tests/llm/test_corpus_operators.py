@@ -78,10 +78,13 @@ def test_near_duplicates(docs, rows, empty):
 
 
 def test_components(spark):
-    edges = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (100, 103), (7, 7), (200, 200)]
-    for small in (0, 1000):
-        out = connected.components(spark.createDataFrame(edges, "a long, b long"), small).collect()
-        assert {r.node: r.component for r in out} == {i: 0 for i in range(41)} | {i: 100 for i in (100, 101, 103)}
+    name = lambda i: hashlib.md5(str(i).encode()).digest()
+    edges = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (100, 103), (7, 7), (200, 200)] + [(500, 501 + i) for i in range(300)]
+    out = connected.components(spark.createDataFrame([(name(a), name(b)) for a, b in edges], "a binary, b binary")).collect()
+    want = {}
+    for group in (range(41), (100, 101, 103), range(500, 801)):
+        want |= {name(i): min(map(name, group)) for i in group}
+    assert {bytes(r.node): bytes(r.component) for r in out} == want
 
 
 def test_decontamination(spark, docs, rows, empty):
