@@ -14,6 +14,9 @@ them before the shuffle), so a vector that a third of the rows repeat is one ent
 read in parts of at most ``PART`` vectors. Broadcast are the centroids and their graph, whose number
 ``MAX_LISTS`` bounds.
 
+A list's products only choose candidates: those within the rounding error of the last one wanted are summed
+again in the order of their components, and ties go to the smallest id, in each list and at the end.
+
 Vectors that are null, zero, or hold null or non-finite components take no part, nor do vectors of
 another length than the most frequent one, nor rows with a null id. Rows of equal id and vector count
 once. Empty tables give no rows. Other columns play no part.
@@ -41,8 +44,8 @@ COPIES, SPREAD = 6, 1.12
 LINKS, BREADTH, PROBES, RATIO = 24, 200, 160, 1.5
 #: Lists that a query reads at least, and times k + 1 distinct vectors that they hold at least.
 LEAST, SEVERAL = 8, 8
-#: Vectors of a list that one task compares at once.
-PART = 20_000
+#: Vectors of a list that one task compares at once, with so many queries.
+PART, ASKED = 20_000, 128
 
 
 def lift(vectors: np.ndarray, longest: float) -> np.ndarray:
@@ -177,7 +180,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "v
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vector_col)
     ranked = rows.withColumn("at", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("at") <= k + 1)
-    classes = common.cut(ranked.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("class", F.xxhash64("v", F.col("ids")[0])))
+    classes = common.cut(ranked.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("least", F.col("ids")[0]).withColumn("class", F.xxhash64("v", "least")))
     n, longest = classes.agg(F.count("*"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -190,7 +193,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "v
         return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
     def spread(held: Broadcast | None = None):
-        schema = pa.schema([("list", pa.int64()), ("class", pa.int64()), ("v", pa.list_(pa.float64()))])
+        schema = pa.schema([("list", pa.int64()), ("class", pa.int64()), ("least", pa.int64()), ("v", pa.list_(pa.float64()))])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -206,46 +209,53 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "v
                         row, col = np.nonzero(keep)
                         names = names[row, col]
                     take = pa.array(row + a)
-                    yield common.batch_of(schema, list=names, **{"class": batch.column("class").take(take)}, v=batch.column("v").take(take))
+                    yield common.batch_of(schema, list=names, **{"class": batch.column("class").take(take)}, least=batch.column("least").take(take), v=batch.column("v").take(take))
 
         return run
 
-    places = "list long, class long, v array<double>"
+    places = "list long, class long, least long, v array<double>"
     common.small_batches(classes)
-    postings = common.cut(classes.select("class", "v").mapInArrow(spread(), places))
+    postings = common.cut(classes.select("class", "least", "v").mapInArrow(spread(), places))
     asked = queries.select(F.col(id_col).cast("long").alias("query_id")).join(rows.withColumnRenamed("vec_id", "query_id"), "query_id").distinct()
-    askers = common.cut(asked.join(classes.select("class", "v"), "v").select("query_id", "class", "v"))
+    askers = common.cut(asked.join(classes.select("class", "least", "v"), "v").select("query_id", "class", "least", "v"))
     # A vector is in at most COPIES lists, so that many entries hold at least this many distinct vectors.
     least = COPIES * SEVERAL * (k + 1)
     sizes = np.zeros(lists, np.int64)
     for r in postings.groupBy("list").count().collect():
         sizes[r["list"]] = r["count"]
-    probes = askers.select("class", "v").dropDuplicates(["class"]).mapInArrow(spread(spark.sparkContext.broadcast(sizes)), places)
+    probes = askers.select("class", "least", "v").dropDuplicates(["class"]).mapInArrow(spread(spark.sparkContext.broadcast(sizes)), places)
     parts = postings.groupBy("list").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     left = probes.join(parts, "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("list", "part", "class", "v")
-    right = postings.join(parts, "list").select("list", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int").alias("part"), "class", "v")
-    found_schema = pa.schema([("query", pa.int64()), ("class", pa.int64()), ("near", pa.float64())])
+    right = postings.join(parts, "list").select("list", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int").alias("part"), "class", "least", "v")
+    found_schema = pa.schema([("query", pa.int64()), ("class", pa.int64()), ("least", pa.int64()), ("near", pa.float64())])
 
     def compare(q: pa.Table, p: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], []]
+        out: list[list] = [[], [], [], []]
         if q.num_rows and p.num_rows:
             queries_, posted = (t["v"].combine_chunks() for t in (q, p))
-            q_ids, p_ids = q["class"].to_numpy(), p["class"].to_numpy()
-            y = matrix(posted).T
-            x = matrix(queries_)
-            for a in range(0, len(x), 512):
-                near = x[a : a + 512] @ y
-                most = min(k + 1, near.shape[1])
-                best = np.argpartition(-near, most - 1, 1)[:, :most]
-                out[0].append(np.repeat(q_ids[a : a + 512], most))
-                out[1].append(p_ids[best].ravel())
-                out[2].append(np.take_along_axis(near, best, 1).ravel())
+            q_ids, p_ids, smallest = q["class"].to_numpy(), p["class"].to_numpy(), p["least"].to_numpy()
+            x, y = matrix(queries_), matrix(posted)
+            most = min(k + 1, len(y))
+            # Twice what two sums of the same products, in any two orders, can differ by.
+            slack = 8 * dim * np.finfo(float).eps * np.sqrt((x**2).sum(1) * (y**2).sum(1).max())
+            for a in range(0, len(x), ASKED):
+                near = x[a : a + ASKED] @ y.T
+                last = np.partition(near, len(y) - most, 1)[:, len(y) - most]
+                row, col = np.nonzero(near >= (last - slack[a : a + ASKED])[:, None])
+                near = np.zeros(len(row))
+                for d in range(dim):
+                    near += x[a + row, d] * y[col, d]
+                order = np.lexsort((smallest[col], -near, row))
+                first = np.searchsorted(row, np.arange(len(x[a : a + ASKED])))
+                best = order[np.arange(len(row)) - first[row] < most]
+                for column, values in zip(out, (q_ids[a + row[best]], p_ids[col[best]], smallest[col[best]], near[best]), strict=True):
+                    column.append(values)
         return pa.Table.from_arrays([pa.array(np.concatenate(c) if c else [], f.type) for c, f in zip(out, found_schema, strict=True)], schema=found_schema)
 
-    pairs = left.groupBy("list", "part").cogroup(right.groupBy("list", "part")).applyInArrow(compare, "query long, class long, near double")
-    # The same pair may come from several lists; its product there can differ in the last bit.
-    pairs = pairs.groupBy("query", "class").agg(F.max("near").alias("near"))
-    pairs = pairs.withColumn("at", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("near"), "class"))).where(F.col("at") <= k + 1)
+    pairs = left.groupBy("list", "part").cogroup(right.groupBy("list", "part")).applyInArrow(compare, "query long, class long, least long, near double")
+    # The same pair may come from several lists, each time with the same numbers.
+    pairs = pairs.groupBy("query", "class").agg(F.max("near").alias("near"), F.min("least").alias("least"))
+    pairs = pairs.withColumn("at", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("near"), "least", "class"))).where(F.col("at") <= k + 1)
     exact = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
     named = pairs.join(classes.select("class", "v", "ids"), "class").join(classes.select(F.col("class").alias("query"), F.col("v").alias("q")), "query")
     entry = F.struct((-exact).alias("minus"), F.col("id").alias("vec_id"))

@@ -42,3 +42,18 @@ def test_reads_on_past_small_lists():
     assert all(held[lists[row == i]].sum() == held.sum() for i in range(5))
     row, lists = ann.reach(graph, np.full(900, 10_000), centers[:5], 300)
     assert min(np.bincount(row)) >= ann.LEAST
+
+
+def test_ties_go_to_the_smallest_ids(spark):
+    rng = np.random.default_rng(21)
+    points = rng.integers(-1, 2, (1500, 16)).astype(float)
+    points[7] = points[11] = points[400]
+    vectors = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in ann.nearest(vectors, vectors.where("vec_id % 20 = 0")).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    whole = np.flatnonzero(points.any(1))
+    for q in range(0, 1500, 20):
+        near = points[whole] @ points[q]
+        order = [i for i in np.lexsort((whole, -near)) if whole[i] != q][:20]
+        assert got[q] == [(whole[i], near[i]) for i in order]
