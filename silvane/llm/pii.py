@@ -2,7 +2,8 @@
 
 Base kinds are email, ip, card and phone; the leftmost non-overlapping matches of each kind that pass
 its validator always stay. Added kinds are iban (mod-97 confirms), ssn and national phone numbers
-(``local``), which stay only if their score, adjusted by the words nearby, reaches a threshold.
+(``local``), which stay only if their score, adjusted by the words nearby, reaches a threshold. An iban
+ends where its country's fixed length ends, so that words and numbers after it are not read as part of it.
 
 Every matcher runs in time linear in the text: no pattern can restart inside a run that it has read.
 Null and empty texts have no spans. Rows are independent, so repeated rows repeat; other columns play
@@ -12,6 +13,8 @@ no part. No shuffle.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,9 +49,20 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])([A-Z]{2})[0-9]{2}")
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _NATIONAL = re.compile(r"(?<![0-9+)])(?<!\+[0-9] )\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9-])")
+#: Lengths of account numbers by country code.
+LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21,
+    "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27,
+    "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26,
+    "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27,
+    "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25,
+    "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23,
+    "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
+_REST = {n: re.compile(rf"(?: ?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])") for n in set(LENGTHS.values())}
 _DIGIT = re.compile(r"[0-9]")
 _WORD = re.compile(r"[a-z]+")
 
@@ -106,6 +120,29 @@ def _phones(text: str):
             yield m.span()
 
 
+def _ibans(text: str):
+    """Each country code and check number is tried once, with as many characters as its country's numbers have."""
+    taken = 0
+    for m in _IBAN.finditer(text):
+        rest = _REST[LENGTHS[m[1]]].match(text, m.end()) if m.start() >= taken and m[1] in LENGTHS else None
+        if rest and mod97(m[0] + rest[0]):
+            taken = rest.end()
+            yield m.start(), taken
+
+
+class Taken:
+    """Spans that others may not overlap: for each start, in order, how far any span up to it reaches."""
+
+    def __init__(self, spans: list[tuple[int, int]]) -> None:
+        spans = sorted(spans)
+        self.starts = [a for a, _ in spans]
+        self.reach = list(accumulate((b for _, b in spans), max))
+
+    def meets(self, start: int, end: int) -> bool:
+        before = bisect_left(self.starts, end)
+        return before > 0 and self.reach[before - 1] > start
+
+
 def score(kind: str, text: str, start: int, end: int) -> float:
     """The kind's prior, moved by the words on either side."""
     near = set(_WORD.findall((text[max(0, start - NEARBY) : start] + " " + text[end : end + NEARBY]).lower()))
@@ -122,13 +159,11 @@ def find(text: str) -> tuple[list[Span], list[Span]]:
     if _DIGIT.search(text):
         for kind, matcher in (("ip", _ips), ("card", _cards), ("phone", _phones)):
             base += [Span(kind, *s, score(kind, text, *s)) for s in matcher(text)]
-        taken = [(s.start, s.end) for s in base]
-        proposed = [("iban", m.span()) for m in _IBAN.finditer(text) if mod97(m[0])]
-        proposed += [(kind, m.span()) for kind, p in (("ssn", _SSN), ("local", _NATIONAL)) for m in p.finditer(text)]
-        for kind, s in proposed:
-            if (value := score(kind, text, *s)) >= THRESHOLD and not any(a < s[1] and s[0] < b for a, b in taken):
-                added.append(Span(kind, *s, value))
-                taken.append(s)
+        spans = lambda pattern: (m.span() for m in pattern.finditer(text))
+        # Spans of one kind never overlap, so what is taken changes from kind to kind only.
+        for kind, proposed in (("iban", _ibans(text)), ("ssn", spans(_SSN)), ("local", spans(_NATIONAL))):
+            taken = Taken([(s.start, s.end) for s in base + added])
+            added += [Span(kind, *s, value) for s in proposed if (value := score(kind, text, *s)) >= THRESHOLD and not taken.meets(*s)]
     return ordered(base, KINDS), ordered(added, KINDS)
 
 

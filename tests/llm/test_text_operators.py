@@ -199,3 +199,18 @@ def test_random_field(docs, rows, empty):
             right, total = right + sum((a > 0) == (b > 0) for a, b in zip(got, tags, strict=True)), total + len(tags)
     assert right / total > 0.95
     assert secrets.find_secrets(docs).count() == len(rows) and secrets.find_secrets(empty).count() == 0
+
+
+def test_account_numbers_end_at_their_length():
+    for after in (" BIC ABC", " 2024", "", ".", ", XY12", " DE89370400440532013000"):
+        text = "iban GB82 WEST 1234 5698 7654 32" + after
+        _, added = pii.find(text)
+        assert ("iban", 5, 32) in [(s.kind, s.start, s.end) for s in added], text
+    assert [(s.start, s.end) for s in pii.find("DE89370400440532013000 2024")[1]] == [(0, 22)]
+    assert not pii.find("DE89370400440532013001 and ZZ89370400440532013000 and DE893704004405320130001")[1]
+
+
+def test_many_spans_in_one_text():
+    text = "card 4111 1111 1111 1111, ssn 123-45-6789; " * 20_000
+    base, added = pii.find(text)
+    assert (len(base), len(added)) == (20_000, 20_000)
