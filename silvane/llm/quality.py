@@ -7,8 +7,9 @@ a hidden layer combines them into one probability. Training backpropagates throu
 places that won them (Adam, fixed seed).
 
 The network is fitted on a bounded sample of labelled documents: the first ``PER_CLASS`` of each class
-in the order of a hash, at most ``BYTES`` of text. Those are documented parameters; nothing else is
-sampled: every document is scored over its whole text. A document's id decides only whether it may be
+in the order of a hash, of those the texts of at most ``LONGEST`` bytes, and of these, in that order, as
+many as are at most ``BYTES`` together (summed before any text reaches the driver; a repeated id counts
+once, with its least text of the least size). Those are documented parameters; nothing else is sampled: every document is scored over its whole text. A document's id decides only whether it may be
 learned from; label, language, source and id are no inputs of the score.
 
 Null and empty texts are scored as a single zero byte. Repeated rows get equal scores. Without labels
@@ -29,6 +30,8 @@ from .bytesops import flat, slices
 
 #: Labelled documents of each class that the network is fitted on, and bytes of their texts.
 PER_CLASS, BYTES = 1200, 24 << 20
+#: Bytes of a text that the network may be fitted on; longer ones are scored, but not learned from.
+LONGEST = BYTES // 64
 FILTERS, WIDTH, HIDDEN = 16, 6, 16
 #: Bytes of a block; a chunk is two blocks, the next begins a block later.
 BLOCK = 128
@@ -173,7 +176,7 @@ def remainder(doc_id: str, of: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % of
 
 
-def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", per_class: int = PER_CLASS, most_bytes: int = BYTES) -> Network:
+def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", per_class: int = PER_CLASS, most_bytes: int = BYTES, longest: int = LONGEST) -> Network:
     """A network fitted on the sample; rows of remainder 2 modulo 4 are never learned from."""
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & (remainder("doc_id", 4) != 2))
     shares = dict(usable.groupBy("label").count().collect())
@@ -185,13 +188,17 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", per_cl
     parts = [usable.where(F.col("label") == k).orderBy(*order).limit(per_class) for k in (0, 1)]
     sample = parts[0].unionByName(parts[1])
     # 2 * per_class rows of two numbers: a fixed bound, so that the texts stay where they are.
-    found = common.id_text(docs).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label")
-    texts, known, total = [], [], 0
-    for _, text, label in sorted(found.where(F.octet_length("text") <= most_bytes // 64).collect()):
-        if total + len(raw := text.encode()) <= most_bytes:
-            texts.append(raw)
-            known.append(label)
-            total += len(raw)
+    held = common.id_text(docs).withColumn("size", F.octet_length("text").cast("long"))
+    sizes = held.where(F.col("size") <= longest).select("doc_id", "size").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min("size").alias("size"))
+    chosen, total = [], 0
+    for doc_id, label, size, _ in sorted(sizes.withColumn("order", F.xxhash64("doc_id")).collect(), key=lambda r: (r[3], r[0], r[1])):
+        if total + size <= most_bytes:
+            chosen.append((doc_id, label, size))
+            total += size
+    wanted = docs.sparkSession.createDataFrame(chosen, "doc_id long, label int, size long")
+    found = held.join(F.broadcast(wanted), ["doc_id", "size"]).groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    learned = sorted((r["doc_id"], r["text"], r["label"]) for r in found.collect())
+    texts, known = [text.encode() for _, text, _ in learned], [label for _, _, label in learned]
     network = Network.fresh()
     if len(set(known)) < 2:
         network.constant = shares[1] / (shares[0] + shares[1])
