@@ -82,7 +82,8 @@ class Units:
         self.used += len(flat_ids)
         new = np.arange(first, self.size)
         if 2 * self.size > len(self.slots):
-            self.slots, new = np.full(4 * len(self.slots), -1, np.int32), np.arange(self.size)
+            # A power of two that one addition of any size leaves at most half full.
+            self.slots, new = np.full(1 << (4 * self.size - 1).bit_length(), -1, np.int32), np.arange(self.size)
         mask = len(self.slots) - 1
         slot = (self.keys[0, new] & U64(mask)).astype(np.int64)
         while len(new):

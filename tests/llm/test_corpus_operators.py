@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 from conftest import *  # noqa: F403
-from silvane.llm import ann, connected, decontaminate, lm_score, near_dups, repeats
+from silvane.llm import ann, connected, decontaminate, lm_score, near_dups, packing, repeats
 
 SPACED = re.compile(rb"[^\x20\x09-\x0D]+")
 WORDS = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -195,3 +195,14 @@ def test_language_model(docs, rows, empty):
         assert any(w[:2] == (r.n_tokens, r.n_known) and abs(w[2] - r.base_score) < 1e-6 and abs(w[3] - r.score) < 1e-6 for w in want[key(r.doc_id)])
         assert r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 7 == 2)
     assert lm_score.score(empty).count() == 0
+
+
+def test_unit_table_takes_many_units_at_once():
+    rng = np.random.default_rng(4)
+    table = packing.Units()
+    for many in (60_000, 5, 300_000):
+        one, two = (rng.integers(0, 2**64, many, dtype=np.uint64) for _ in range(2))
+        table.add(one, two, [np.array([i], "<u4") for i in range(many)])
+        number = table.find(one, two)
+        assert (table.ids[table.begin[number]] == np.arange(many)).all()
+        assert (table.find(two, one) < 0).all()
