@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,10 +42,44 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """``mapInArrow`` with a function of one batch."""
+#: What a Python worker keeps from one task to the next: of one operator at a time.
+_KEPT: dict[str, tuple[Any, Any]] = {}
+
+
+def release(but: str = "") -> None:
+    """Free what other operators left in this worker, and give the memory back to the system.
+
+    Workers outlive a task; without this, a tokenizer of one stage stays in memory all through the next.
+    """
+    left = [k for k in _KEPT if k != but]
+    for k in left:
+        del _KEPT[k]
+    if left:
+        _trim()
+
+
+def _trim() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def kept(operator: str, key: Any, make: Callable[[], Any]) -> Any:
+    """The value of an operator under the key, made once a worker; other keys and operators are forgotten."""
+    release(operator)
+    if operator not in _KEPT or _KEPT[operator][0] != key:
+        _KEPT.pop(operator, None)
+        _KEPT[operator] = (key, make())
+        _trim()
+    return _KEPT[operator][1]
+
+
+def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, operator: str = "") -> DataFrame:
+    """``mapInArrow`` with a function of one batch; what the operator ``kept`` stays in the worker."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(operator)
         for batch in batches:
             if batch.num_rows:
                 out = each(batch)

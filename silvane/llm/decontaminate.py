@@ -68,6 +68,7 @@ def build_index(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("segment", pa.string()), ("docs", pa.list_(pa.int64())), ("first", pa.list_(pa.int64())), ("terms", pa.binary()), ("starts", pa.binary()), ("postings", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.release()
         task, n = TaskContext.get().partitionId(), 0
         for batch in batches:
             data, off = flat(batch.column("text"))
@@ -208,6 +209,7 @@ def phrases(index: DataFrame, tests: list[bytes]) -> DataFrame:
     sent = index.sparkSession.sparkContext.broadcast(tests)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.release()
         search = Search(sent.value)
         for batch in batches:
             for i in range(batch.num_rows):
@@ -229,6 +231,7 @@ def proximity(index: DataFrame, queries: list[tuple[str, list[str]]], span: int)
     schema = pa.schema([("query", pa.string()), ("doc_id", pa.int64()), ("position", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.release()
         for batch in batches:
             for row in batch.to_pylist():
                 segment, out = Segment(**row), []
@@ -278,6 +281,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bloc
 
 def _clean(sent, text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.release()
         search = Search(sent.value)
         for batch in batches:
             data, off = flat(batch.column(text_at))

@@ -148,6 +148,7 @@ def _confirmed(edges: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.release()
         import zstandard
 
         open_up = zstandard.ZstdDecompressor().decompress
@@ -216,6 +217,7 @@ def _prefixes(crowd: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     wide = SKETCH // CHUNKS
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.release()
         counts, any_ = np.zeros(SKETCH, np.uint32), False
         for batch in batches:
             for _, sets in unpacked(batch.column("packed"), size):
@@ -240,6 +242,7 @@ def _prefixes(crowd: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     schema = pa.schema([("class", pa.binary()), ("n", pa.int64()), ("comp", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.release()
         for batch in batches:
             for at, sets in unpacked(batch.column("packed"), size):
                 keys = []

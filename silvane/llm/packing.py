@@ -179,13 +179,10 @@ _BETWEEN_SPACES = byte_class((0x20, 0x20), (0x0A, 0x0A), negate=True)
 #: Letters without surprises of case or composition (those of two bytes begin with C3), and simple signs: the two never share a token.
 _LETTER, _AFTER_C3 = byte_class((0x41, 0x5A), (0x61, 0x7A)), byte_class((0x9F, 0xB6), (0xB8, 0xBF))
 _SIGN = byte_class(*((ord(c), ord(c)) for c in ".,;:!?%$&*#|"))
-_ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return common.kept("packing", path, lambda: Encoder(path))
 
 
 def stretches(data: np.ndarray, most: int) -> Iterator[np.ndarray]:

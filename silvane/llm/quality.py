@@ -216,19 +216,12 @@ def score(docs: DataFrame, network: Network, threshold: float = THRESHOLD) -> Da
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         return common.batch_of(schema, doc_id=batch.column("doc_id"), score=network.scores(*flat(batch.column("text")), _pairs(network)))
 
-    scored = common.map_batches(common.id_text(docs), each, "doc_id long, score double")
+    scored = common.map_batches(common.id_text(docs), each, "doc_id long, score double", "quality")
     return scored.select("doc_id", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-_PAIRS: dict[bytes, list[np.ndarray]] = {}
-
-
 def _pairs(network: Network) -> list[np.ndarray]:
-    key = network.tables.tobytes()[:4096]
-    if key not in _PAIRS:
-        _PAIRS.clear()
-        _PAIRS[key] = network.pairs()
-    return _PAIRS[key]
+    return common.kept("quality", network.tables.tobytes(), network.pairs)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -240,7 +233,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
         good = network.scores(*flat(batch.column(text_at)), _pairs(network)) >= threshold
         return batch.filter(pa.array(good))
 
-    return common.map_batches(docs.select(names), each, docs.schema)
+    return common.map_batches(docs.select(names), each, docs.schema, "quality")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -173,13 +173,8 @@ def _last_boundary(text: str) -> int:
     return at
 
 
-_MADE: dict[str, SegmentTransducer] = {}
-
-
 def transducer(path: str) -> SegmentTransducer:
-    if path not in _MADE:
-        _MADE[path] = SegmentTransducer(path)
-    return _MADE[path]
+    return common.kept("token_counts", path, lambda: SegmentTransducer(path))
 
 
 def count_tokens(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", limit: int = LIMIT, chunk: int = CHUNK) -> DataFrame:
@@ -201,7 +196,7 @@ def count_tokens(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", limit
         counts = np.fromiter((machine.count(t, chunk) for t in strings), np.int64, len(strings))
         return common.batch_of(schema, doc_id=batch.column("doc_id"), n_bytes=np.diff(off), n_tokens=counts, over_limit=counts > limit)
 
-    return common.map_batches(common.id_text(docs), each, SCHEMA)
+    return common.map_batches(common.id_text(docs), each, SCHEMA, "token_counts")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
