@@ -11,14 +11,16 @@ before it and itself (a *gram*).
 
 Nothing of the trie is broadcast but its two lowest orders, at most 65,536 counts. Documents are dealt
 to blocks of about ``BLOCK`` bytes as they are read, whatever their ids. Each block asks for its distinct
-grams and words, with their training counts in it; counts are summed over blocks. Grams are grouped by the
-last three bytes of their context, where all longer contexts that they need meet; order 2, which such
-groups share, is summed once and sent to each. Groups are hashed to tasks of about ``PRICED`` grams: one
-frequent pair of bytes is spread over ``SPREAD`` of them. The answers are joined back to the blocks that
-asked, and each block scores its texts. What is gathered thus grows with the input, and a frequent gram
-or word is one row a block, however often it occurs.
-
-Grams are keyed by their bytes, words by 128 bits of hash. Null and empty texts are their end alone.
+grams and words, with their training counts in it. What is asked travels packed: sorted numbers, split
+by the task that answers, compressed byte plane by byte plane. Grams are answered by the last three bytes
+of their context, where all longer contexts that they need meet; order 2, which such groups share, is
+summed once and sent to each. Groups are hashed to tasks that are asked for about ``PRICED`` grams: one
+frequent pair of bytes is spread over ``SPREAD`` of them. A task sums the counts of all blocks, a few at a
+time, and answers each block with one number a gram, in the order asked, so that nothing is joined back;
+words are answered likewise, without their keys, which the block has again from its texts. What a task is
+sent thus grows with the input, and a frequent gram or word is one number a block, however often it occurs.
+
+Null and empty texts are their end alone.
 Repeated rows are scored one by one; rows with a null id are in the training part. A very long text makes
 its block as large as itself. Ties don't arise: the result is one number a row. Without training rows the
 base is 0 and the model is uniform. Empty tables give no rows. Other columns play no part.
@@ -30,12 +32,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .bytesops import LOWER, NON_SPACE, U64, flat, slices, word_hashes, words
+from .bytesops import LOWER, NON_SPACE, U64, flat, mix, slices, word_hashes, words
 
 # Freed Arrow memory goes back to the system, not to a pool: blocks are large and workers live long.
 pa.set_memory_pool(pa.system_memory_pool())
@@ -49,8 +52,12 @@ TEXTS = 1_000_000
 #: Grams that one task prices, on average, and tasks that the grams of one pair of bytes are dealt to.
 PRICED, SPREAD = 32_000, 16
 START, END = 0xFF, 0xFE
-#: Keys of the end token among the words. The second key of a word is odd, that of a gram 0.
+#: Keys of the end token among the words.
 END_WORD = (np.int64(0x5EED), np.int64(1))
+#: What blocks ask for: grams and words; and the last four bytes of their training grams.
+GRAM, WORD, FOUR = 0, 1, 2
+#: Keys packed together at most, and keys of blocks that are summed at once.
+PART, MERGED = 500_000, 1_000_000
 
 
 def grams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,25 +132,54 @@ class _Asked:
             self.grams = tuple([x] for x in _merge(*self.grams))
             self.words = tuple([x] for x in _merge_words(*self.words))
 
-    def rows(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """key, key2, n, in parts."""
-        one, two, n = _merge_words(*self.words)
-        yield np.append(one, END_WORD[0]), np.append(two, END_WORD[1]), np.append(n, self.train)
+    def rows(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Kind, part, key, key2 and n, sorted by their keys, in parts."""
         keys, n = _merge(*self.grams)
-        for at in range(0, len(keys), 200_000):
-            part = keys[at : at + 200_000]
-            yield part, np.zeros(len(part), np.int64), n[at : at + 200_000]
+        one, two, count = _merge_words(*([*x, np.array([end])] for x, end in zip(self.words, (*END_WORD, self.train), strict=True)))
+        fours = np.unique(keys[n > 0] & 0xFFFFFFFF)
+        none = np.zeros(0, np.int64)
+        for kind, (first, second, counts) in ((GRAM, (keys, none, n)), (WORD, (one, two, count)), (FOUR, (fours, none, none))):
+            for part, at in enumerate(range(0, len(first), PART)):
+                yield kind, part, *(x[at : at + PART] for x in (first, second, counts))
+
+
+def _squeeze(numbers: np.ndarray) -> bytes | None:
+    """64-bit numbers, compressed byte plane by byte plane."""
+    if not len(numbers):
+        return None
+    import zstandard
+
+    planes = np.ascontiguousarray(np.ascontiguousarray(numbers).view(np.uint8).reshape(-1, 8).T)
+    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+
+
+def _stretch(packed: bytes | None, kind: type = np.int64) -> np.ndarray:
+    """What ``_squeeze`` has compressed."""
+    if packed is None:
+        return np.zeros(0, kind)
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, -1).T).view(kind).ravel()
+
+
+def _steps(keys: np.ndarray) -> bytes | None:
+    """Sorted keys, packed by their differences."""
+    return _squeeze(np.diff(keys, prepend=np.int64(0)))
+
+
+def _keys(packed: bytes | None) -> np.ndarray:
+    return np.cumsum(_stretch(packed))
 
 
 def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
-    """Rows of two sorts: block, doc_id, held_out and the compressed text; and block, key, key2 and n of what the block asks for."""
+    """Rows of two sorts: block, doc_id, held_out and the compressed text; and block, kind, part, size and the packed keys and counts of what the block asks for."""
     size = common.id_text(docs).agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    schema = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("packed", pa.binary()), ("key", pa.int64()), ("key2", pa.int64()), ("n", pa.int64())])
+    schema = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("packed", pa.binary()), ("kind", pa.int32()), ("part", pa.int64()), ("size", pa.int64()), ("key", pa.binary()), ("key2", pa.binary()), ("n", pa.binary())])
 
     def asked(block: int, of: _Asked) -> Iterator[pa.RecordBatch]:
-        for key, key2, n in of.rows():
-            none = [pa.nulls(len(key), f.type) for f in list(schema)[1:4]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), block)), *none, *map(pa.array, (key, key2, n))], schema=schema)
+        for kind, part, key, key2, n in of.rows():
+            yield common.batch_of(schema, block=[block], doc_id=[None], held_out=[None], packed=[None], kind=[kind], part=[part], size=[len(key)], key=[_steps(key)], key2=[_squeeze(key2)], n=[_squeeze(n)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -158,8 +194,8 @@ def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
                 for a, b in slices(off, SLICE):
                     now.add(data[off[a] : off[b]], off[a : b + 1] - off[a], held_out)
                     packed = [squeeze(data[off[i] : off[i + 1]]) for i in range(a, b)]
-                    none = [pa.nulls(b - a, pa.int64())] * 3
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, block)), batch.column("doc_id").slice(a, b - a), batch.column("held_out").slice(a, b - a), pa.array(packed, pa.binary()), *none], schema=schema)
+                    none = {f.name: pa.nulls(b - a, f.type) for f in list(schema)[4:]}
+                    yield common.batch_of(schema, block=np.full(b - a, block), doc_id=batch.column("doc_id").slice(a, b - a), held_out=batch.column("held_out").slice(a, b - a), packed=packed, **none)
                     if now.size >= block_bytes or now.texts >= TEXTS:
                         yield from asked(block, now)
                         block, now = block + 1, _Asked()
@@ -169,7 +205,49 @@ def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
     # Neighbouring parts of the input are read by one task, so that blocks are not much smaller than asked for.
     source = common.id_text(docs).select("doc_id", held_out.alias("held_out"), "text").coalesce(max(1, -(-size // block_bytes)))
-    return common.small_batches(source).mapInArrow(run, "block long, doc_id long, held_out boolean, packed binary, key long, key2 long, n long")
+    return common.small_batches(source).mapInArrow(run, "block long, doc_id long, held_out boolean, packed binary, kind int, part long, size long, key binary, key2 binary, n binary")
+
+
+def gram_bucket(keys: np.ndarray, groups: int) -> np.ndarray:
+    """Bucket that answers a gram: of the pair of bytes before its symbol, and of the byte before them."""
+    return pair_bucket(keys, groups) + (mix((keys >> 24 & 0xFF).astype(U64)) % U64(SPREAD)).astype(np.int64)
+
+
+def pair_bucket(keys: np.ndarray, groups: int) -> np.ndarray:
+    """First of the ``SPREAD`` buckets of the pair of bytes before the symbol."""
+    return (mix((keys >> 8 & 0xFFFF).astype(U64)) % U64(groups)).astype(np.int64) * SPREAD
+
+
+def word_bucket(keys: np.ndarray, groups: int) -> np.ndarray:
+    """Bucket that answers a word: stretches of its first key, so that buckets are in the order of keys."""
+    return ((((keys.view(U64) ^ U64(1 << 63)) >> U64(32)) * U64(groups * SPREAD)) >> U64(32)).astype(np.int64)
+
+
+_DEALT = pa.schema([("bucket", pa.int64()), ("two", pa.bool_()), ("block", pa.int64()), ("part", pa.int64()), ("key", pa.binary()), ("key2", pa.binary()), ("n", pa.binary())])
+_DEALT_SQL = "bucket long, two boolean, block long, part long, key binary, key2 binary, n binary"
+
+
+def _split(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket with the places of its entries, in order."""
+    order = np.argsort(bucket, kind="stable")
+    begin = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0])
+    for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(order)], strict=True):
+        yield int(bucket[order[a]]), order[a:b]
+
+
+def _dealt(asked: DataFrame, kind: int, groups: int) -> DataFrame:
+    """What the blocks ask for of one kind, a row for each block, part and bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                key, key2, n = _keys(row["key"]), _stretch(row["key2"]), _stretch(row["n"])
+                parts = list(_split(gram_bucket(key, groups) if kind == GRAM else word_bucket(key, groups)))
+                columns = {"bucket": [b for b, _ in parts], "key": [_steps(key[at]) for _, at in parts], "key2": [_squeeze(key2[at]) if kind == WORD else None for _, at in parts], "n": [_squeeze(n[at]) for _, at in parts]}
+                yield common.batch_of(_DEALT, two=[False] * len(parts), block=[row["block"]] * len(parts), part=[row["part"]] * len(parts), **columns)
+
+    wanted = asked.where(F.col("kind") == kind).select("block", "part", "key", "key2", "n")
+    return common.small_batches(wanted).mapInArrow(run, _DEALT_SQL)
 
 
 def _opened(packed: pa.ChunkedArray | pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -287,48 +365,106 @@ class _Index:
         return which[wrong]
 
 
+_ANSWER = pa.schema([("block", pa.int64()), ("place", pa.int64()), ("key", pa.binary()), ("value", pa.binary())])
+
+
+def _summed(packed: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of all blocks, and their counts; merged as they are unpacked."""
+    keys: list[np.ndarray] = []
+    counts: list[np.ndarray] = []
+    fresh = 0
+    for k, n in packed:
+        keys.append(_keys(k))
+        counts.append(_stretch(n))
+        fresh += len(keys[-1])
+        if fresh >= MERGED:
+            (keys, counts), fresh = ([x] for x in _merge(keys, counts)), 0
+    return _merge(keys, counts)
+
+
+def _counted(group: pa.Table) -> pa.Table:
+    """Training counts of the words of a bucket for each block that asks; and their sum and number, once."""
+    packed = list(zip(*(group[c].to_pylist() for c in ("key", "key2", "n")), strict=True))
+    total: tuple[list, list, list] = ([], [], [])
+    fresh = 0
+    for key, key2, n in packed:
+        for held, new in zip(total, (_keys(key), _stretch(key2), _stretch(n)), strict=True):
+            held.append(new)
+        fresh += len(total[0][-1])
+        if fresh >= MERGED:
+            total, fresh = tuple([x] for x in _merge_words(*total)), 0
+    one, two, n = _merge_words(*total)
+    index = _Index(one, n, two)
+    values = [_squeeze(index.get(_keys(key), _stretch(key2))) for key, key2, _ in packed]
+    place = group["part"].to_numpy() << 40 | group["bucket"].to_numpy()
+    schema = pa.schema([*_ANSWER, ("n", pa.int64()), ("distinct", pa.int64())])
+    rest = [0] * (len(packed) - 1)
+    return pa.Table.from_batches([common.batch_of(schema, block=group["block"].combine_chunks(), place=place, key=[None] * len(packed), value=values, n=[int(n.sum()), *rest], distinct=[int((n > 0).sum()), *rest])])
+
+
 def score(docs: DataFrame, block_bytes: int = BLOCK, priced: int = PRICED) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     both = common.stored(_blocks(docs, block_bytes))
-    asked, texts = both.where("key is not null").select("block", "key", "key2", "n"), both.where("key is null").select(F.col("block").alias("of"), "doc_id", "held_out", "packed")
-    rows = asked.count()
-    counts = asked.groupBy("key", "key2").agg(F.sum("n").alias("n"))
-    told = counts.where("key2 <> 0").agg(F.sum("n"), F.count(F.when(F.col("n") > 0, 1))).first()
+    asked, texts = both.where("kind is not null"), both.where("kind is null").select(F.col("block").alias("of"), "doc_id", "held_out", "packed")
+    rows = asked.where(F.col("kind") != FOUR).agg(F.sum("size")).first()[0] or 0
+    groups = max(1, -(-rows // (priced * SPREAD)))
+    words_ = common.stored(_dealt(asked, WORD, groups).groupBy("bucket").applyInArrow(_counted, "block long, place long, key binary, value binary, n long, distinct long"))
+    told = words_.agg(F.sum("n"), F.sum("distinct")).first()
     n_train, n_distinct = int(told[0] or 0), int(told[1] or 0)
     # Distinct grams of order 3 give the counts of order 2, those the counts of order 1, at most 65,536, and those the counts of order 0.
-    fours = asked.where("key2 = 0 and n > 0").select(F.col("key").bitwiseAND(0xFFFFFFFF).alias("key")).distinct()
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for packed in batch.column("key"):
+                yield pa.record_batch([pa.array(_keys(packed.as_py()))], ["key"])
+
+    fours = common.small_batches(asked.where(F.col("kind") == FOUR).select("key")).mapInArrow(unpacked, "key long").distinct()
     threes = common.cut(fours.groupBy(F.col("key").bitwiseAND(0xFFFFFF).alias("key")).agg(F.count("*").alias("n")))
     pairs = threes.groupBy(F.col("key").bitwiseAND(0xFFFF).alias("pair")).agg(F.count("*").alias("n")).collect()
     pair_keys = np.array(sorted((r[0], r[1]) for r in pairs), np.int64).reshape(-1, 2)
     low = [_types(pair_keys[:, 0], 0), _Level(pair_keys[:, 0], pair_keys[:, 1])]
-    groups = -(-rows // (priced * SPREAD))
-    pair = F.pmod(F.xxhash64(F.shiftrightunsigned("key", 8).bitwiseAND(0xFFFF)), F.lit(max(1, groups))).alias("pair")
-    third = F.pmod(F.xxhash64(F.shiftrightunsigned("key", 24).bitwiseAND(0xFF)), F.lit(SPREAD)).alias("third")
-    wanted = counts.where("key2 = 0").select(pair, third, "key", "n", F.lit(False).alias("two"))
-    shared = threes.select(pair, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))).alias("third"), "key", "n", F.lit(True).alias("two"))
-    gram_schema = pa.schema([("key", pa.int64()), ("key2", pa.int64()), ("value", pa.float64())])
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, n = (batch.column(c).to_numpy() for c in ("key", "n"))
+            order = np.argsort(key)
+            key, n = key[order], n[order]
+            parts = [(bucket, _steps(key[at]), _squeeze(n[at])) for bucket, at in _split(pair_bucket(key, groups))] if len(key) else []
+            every = [(bucket + i, k, c) for bucket, k, c in parts for i in range(SPREAD)]
+            none = [None] * len(every)
+            yield common.batch_of(_DEALT, bucket=[x[0] for x in every], two=[True] * len(every), block=none, part=none, key=[x[1] for x in every], key2=none, n=[x[2] for x in every])
 
     def price(group: pa.Table) -> pa.Table:
-        keys, n, two = (group[c].to_numpy() for c in ("key", "n", "two"))
-        order = np.argsort(keys)
-        keys, n, two = keys[order], n[order], two[order]
-        own, own_n = keys[~two], n[~two]
-        value = log_probability(own, own[own_n > 0], own_n[own_n > 0], [*low, _Level(keys[two], n[two])]) if len(own) else np.zeros(0)
-        return pa.Table.from_arrays([pa.array(own), pa.array(np.zeros(len(own), np.int64)), pa.array(value)], schema=gram_schema)
-
-    answers = wanted.unionByName(shared).groupBy("pair", "third").applyInArrow(price, "key long, key2 long, value double")
-    answers = answers.unionByName(counts.where("key2 <> 0").select("key", "key2", F.col("n").cast("double").alias("value")))
-    back = asked.select("block", "key", "key2").join(answers, ["key", "key2"]).select("block", "key", "key2", "value")
+        two, packed, n = (group[c].to_pylist() for c in ("two", "key", "n"))
+        own, own_n = _summed([(k, c) for t, k, c in zip(two, packed, n, strict=True) if not t])
+        order2 = _merge(*zip(*((_keys(k), _stretch(c)) for t, k, c in zip(two, packed, n, strict=True) if t), strict=True)) if any(two) else (np.zeros(0, np.int64),) * 2
+        value = log_probability(own, own[own_n > 0], own_n[own_n > 0], [*low, _Level(*order2)]) if len(own) else np.zeros(0)
+        answered = group.filter(pa.compute.invert(group["two"]))
+        values = [_squeeze(value[np.searchsorted(own, _keys(k))]) for k in answered["key"].to_pylist()]
+        return pa.Table.from_batches([common.batch_of(_ANSWER, block=answered["block"].combine_chunks(), place=np.full(len(values), -1), key=answered["key"].to_pylist(), value=values)])
+
+    grams_ = _dealt(asked, GRAM, groups).unionByName(threes.select("key", "n").mapInArrow(shared, _DEALT_SQL))
+    back = grams_.groupBy("bucket").applyInArrow(price, "block long, place long, key binary, value binary").unionByName(words_.select("block", "place", "key", "value"))
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def scored(own: pa.Table, found: pa.Table) -> pa.Table:
-        key, key2, value = (found[c].to_numpy() for c in ("key", "key2", "value"))
-        del found
-        is_word = key2 != 0
-        word = _Index(key[is_word], value[is_word], key2[is_word])
-        del key2
-        gram = _Index(key[~is_word], value[~is_word])
-        del key, value, is_word
+        place = found["place"].to_numpy()
+        packed, values = (found[c].to_pylist() for c in ("key", "value"))
+        of_grams, of_words = np.flatnonzero(place < 0), np.flatnonzero(place >= 0)
+        gram = _Index(np.concatenate([_keys(packed[i]) for i in of_grams]), np.concatenate([_stretch(values[i], np.float64) for i in of_grams]))
+        # Words are answered in the order of their keys, which were taken from these texts.
+        counts = np.concatenate([_stretch(values[i]) for i in of_words[np.argsort(place[of_words])]]).astype(float)
+        del packed, values, found
+        asked_words: tuple[list, list, list] = tuple([np.array([x])] for x in (*END_WORD, 0))
+        for _, _, data, off in _opened(own["packed"]):
+            one, two, _ = word_keys(data, off)
+            for held, new in zip(asked_words, _merge_words([one], [two], [np.zeros(len(one), np.int64)]), strict=True):
+                held.append(new)
+            if len(asked_words[0]) >= 8:
+                asked_words = tuple([x] for x in _merge_words(*asked_words))
+        key, key2, _ = _merge_words(*asked_words)
+        word = _Index(key, counts, key2)
+        del key, key2, counts, asked_words
         of_word = lambda c: np.log10((c + 1) / (n_train + n_distinct + 1))
         end = float(word.get(*(np.array([x]) for x in END_WORD))[0])
         parts: list[list[np.ndarray]] = [[], [], [], []]

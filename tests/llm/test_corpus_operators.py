@@ -197,6 +197,19 @@ def test_language_model(docs, rows, empty):
     assert lm_score.score(empty).count() == 0
 
 
+def test_language_model_questions_travel_packed(docs):
+    """No answer is joined back by its key; many small tasks and parts of a block give what a few large ones give."""
+    many = lm_score.score(docs, block_bytes=20_000, priced=20)
+    plan = many._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan
+    by_text = lambda found: sorted((r.doc_id or -1, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in found.collect())
+    assert by_text(many) == by_text(lm_score.score(docs))
+    keys = np.sort(np.random.default_rng(3).integers(-(2**63), 2**63 - 1, 5000))
+    assert (lm_score._keys(lm_score._steps(keys)) == keys).all()
+    buckets = lm_score.word_bucket(keys, 7)
+    assert (np.diff(buckets) >= 0).all() and buckets.min() >= 0 and buckets.max() < 7 * lm_score.SPREAD
+
+
 def test_unit_table_takes_many_units_at_once():
     rng = np.random.default_rng(4)
     table = packing.Units()
