@@ -12,10 +12,12 @@ and the greatest class are centres; each other class is paired with them, pairs
 sets, and components merge. What is still open is mostly classes that share a passage but are not
 similar. Those are dealt anew, exactly: two sets can only be similar if the first quarter of both, in
 any one order of shingles, meets. With frequent shingles last (a count sketch of fixed size tells them)
-a shared passage stays out of that quarter. The buckets of that order are small; each is searched within
-tasks of at most two blocks of about ``WITHIN`` shingles, a larger bucket in all pairs of its blocks, and
-only links between different components are returned. Every pair of an open bucket is confirmed, refuted
-or already connected, with no cap and no pairs emitted.
+a shared passage stays out of that quarter. The buckets of that order are small, but classes may meet in
+hundreds of them: of buckets of at most ``PAIRED`` classes, the distinct pairs of close size and different
+components are confirmed, once each and those of a neighbourhood together; a larger bucket is searched
+within tasks of at most two blocks of about ``WITHIN`` shingles, in all pairs of its blocks, without
+emitting pairs. Only links between different components are returned. Every pair of an open bucket is
+confirmed, refuted or already connected, with no cap.
 
 Shingles, sets and rows are told apart by 128 bits. A key that many classes share is never gathered: sums
 by key are joined back as plain shuffles, which Spark splits. Long texts are hashed in stretches of whole
@@ -141,10 +143,14 @@ def _packed(docs: DataFrame) -> DataFrame:
 
 
 def _confirmed(edges: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The edges (center, member, their components) whose full sets are similar enough."""
+    """The edges (center, member, their components) whose full sets are similar enough; those of one ``lead``, if given, together."""
     one = texts.select(F.col("class").alias("center"), F.col("packed").alias("packed_a"))
     two = texts.select(F.col("class").alias("member"), F.col("packed").alias("packed_b"))
-    pairs = edges.join(one, "center").join(two, "member").select("a", "b", "center", "member", "packed_a", "packed_b")
+    pairs = edges.join(one, "center").join(two, "member")
+    if "lead" in edges.columns:
+        # Dealt so that Spark may still split a large neighbourhood.
+        pairs = pairs.hint("rebalance", F.col("lead")).sortWithinPartitions("lead", "center", "member")
+    pairs = pairs.select("a", "b", "center", "member", "packed_a", "packed_b")
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,13 +159,16 @@ def _confirmed(edges: DataFrame, texts: DataFrame, size: int, percent: int) -> D
 
         open_up = zstandard.ZstdDecompressor().decompress
         known: OrderedDict[bytes, tuple[np.ndarray, np.ndarray]] = OrderedDict()
+        held = 0
 
         def set_of(name: bytes, packed: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+            nonlocal held
             if (found := known.get(name)) is None:
                 text = np.frombuffer(open_up(packed.as_py()), np.uint8)
                 found = known[name] = Shingles(text, np.array([0, len(text)]), size)[0]
-                if len(known) > 64 or sum(len(x) for x, _ in known.values()) > WITHIN:
-                    known.popitem(last=False)
+                held += len(found[0])
+                while len(known) > 1 and (len(known) > CLASSES or held > WITHIN):
+                    held -= len(known.popitem(last=False)[1][0])
             return found
 
         for batch in batches:
@@ -291,12 +300,38 @@ def meetings(row: np.ndarray, shingle: np.ndarray, rows: int) -> Iterator[tuple[
         yield i, met[:i]
 
 
-def _within(opened: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (a, b: components) of classes that share a key, in blocks. ``opened``: key, class, n, comp."""
+#: Classes of a bucket whose pairs are told apart over all buckets; a larger bucket is searched in blocks.
+PAIRED = 256
+
+
+def _buckets(opened: DataFrame) -> DataFrame:
+    """key, class, n, comp, and the classes and shingles of the key's bucket. Keys with the same classes are one."""
     told = opened.groupBy("key").agg(F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("sum"), F.count("*").alias("times"), F.sum("n").alias("held"), F.min("class").alias("least"), F.max("class").alias("most"))
-    # Keys with the same classes are searched once.
-    keys = told.groupBy("sum", "times", "held", "least", "most").agg(F.min("key").alias("key")).select("key", F.least(F.greatest(F.ceil(F.col("held") / WITHIN), F.ceil(F.col("times") / CLASSES)), "times").cast("int").alias("blocks"))
-    rows = opened.select("key", "class", "comp").join(keys, "key").withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    keys = told.groupBy("sum", "times", "held", "least", "most").agg(F.min("key").alias("key")).select("key", "times", "held")
+    return common.cut(opened.select("key", "class", "n", "comp").join(keys, "key"))
+
+
+def _pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (center, member, their components) that may be similar, of buckets' rows, with a class near which others meet."""
+    other = rows.select("key", F.col("class").alias("member"), F.col("n").alias("size"), F.col("comp").alias("end"))
+    close = 100 * F.least("n", "size") >= percent * F.greatest("n", "size")
+    met = rows.join(other, "key").where((F.col("class") < F.col("member")) & (F.col("comp") != F.col("end")) & close)
+    pairs = common.cut(met.select(F.col("class").alias("center"), "member", F.least("comp", "end").alias("a"), F.greatest("comp", "end").alias("b")).distinct())
+    lead = pairs.groupBy("member").agg(F.min("center").alias("lead")).select(common.hidden(F.col("member")).alias("center"), "lead")
+    return pairs.join(lead, "center", "left").withColumn("lead", F.coalesce("lead", "center"))
+
+
+def _searched(opened: DataFrame, texts: DataFrame, size: int, percent: int, paired: int = PAIRED) -> DataFrame:
+    """Links (a, b: components) of all classes that share a key. ``opened``: key, class, n, comp."""
+    rows = _buckets(opened)
+    few = _confirmed(_pairs(rows.where(F.col("times") <= paired), percent), texts, size, percent).distinct()
+    return few.unionByName(_within(rows.where(F.col("times") > paired), texts, size, percent))
+
+
+def _within(rows: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b: components) of classes that share a key, in blocks, of buckets' rows."""
+    blocks = F.least(F.greatest(F.ceil(F.col("held") / WITHIN), F.ceil(F.col("times") / CLASSES)), "times").cast("int")
+    rows = rows.select("key", "class", "comp", blocks.alias("blocks")).withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "class", "comp").join(texts.select("class", "packed"), "class")
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
@@ -350,7 +385,7 @@ def linked(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, collect
     crowd = _open(rest).select("class", "n", "comp").distinct()
     # A star round on the new buckets first: it joins what a large group of near copies has left apart.
     more, rest = _settle(_open(_shared(_prefixes(crowd, texts, size, percent))), texts, size, percent)
-    links = found.unionByName(more).unionByName(_within(_open(rest), texts, size, percent))
+    links = found.unionByName(more).unionByName(_searched(_open(rest), texts, size, percent))
     joined = components(links)
     whole = classes.select("class", "least").join(joined.withColumnRenamed("node", "class"), "class")
     smallest = whole.groupBy("component").agg(F.min("least").alias("smallest"))

@@ -77,6 +77,34 @@ def test_near_duplicates(docs, rows, empty):
     assert near_dups.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_confirm_a_pair_once(spark):
+    """Classes that meet under many keys are compared once; pairs and blocks find the same links."""
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in rng.integers(0, 10**6, 120)]
+    texts = [" ".join([*base[:at], *(f"x{i}y{j}" for j in range(20 + i % 3 * 10)), *base[at + 20 :]]) for i, at in enumerate(range(0, 96, 8))]
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    classes = spark.createDataFrame([(bytes([i] * 16), t.encode(), len(s)) for i, (t, s) in enumerate(zip(texts, sets, strict=True))], "class binary, text binary, n long")
+    packed = near_dups._packed(classes.selectExpr("cast(n as long) doc_id", "cast(text as string) text"))
+    by_text = classes.selectExpr("class", "unhex(md5(concat_ws(':', cast(n as string), cast(text as string)))) rid").join(packed, "rid").select("class", "packed")
+    opened = classes.selectExpr("explode(sequence(1L, 40L)) key", "class", "n", "class comp").where("key % 3 <> 0 or class > X'01010101010101010101010101010101'")
+    pairs = near_dups._pairs(near_dups._buckets(opened), 50)
+    assert pairs.count() == pairs.select("center", "member").distinct().count() <= 12 * 11 // 2
+    want = {(i, j) for j in range(12) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 50 * len(sets[i] | sets[j])}
+    assert want
+
+    def groups(links) -> set:
+        parent = list(range(12))
+        for a, b in links:
+            a, b = parent[a], parent[b]
+            parent = [min(a, b) if p in (a, b) else p for p in parent]
+        return set(enumerate(parent))
+
+    for paired in (0, 1000):
+        got = {(r.a[0], r.b[0]) for r in near_dups._searched(opened, by_text, 5, 50, paired).collect()}
+        assert got if paired == 0 else {tuple(sorted(x)) for x in got} == want
+        assert groups(got) == groups(want)
+
+
 def test_components(spark):
     name = lambda i: hashlib.md5(str(i).encode()).digest()
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (100, 103), (7, 7), (200, 200)] + [(500, 501 + i) for i in range(300)]
